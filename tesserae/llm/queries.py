@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from tesserae.llm import mixing, packing
+from tesserae.llm import jaccard, mixing, packing
 from tesserae.llm.common import read, ship
 from tesserae.llm.tokens import tokenizer_path
 
@@ -13,6 +13,10 @@ def op6_mixing(spark, sf_dir):
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op9_ngram_jaccard(spark, sf_dir):
+    return jaccard.link(read(spark, sf_dir, "documents"), width=3, num=9, den=10)
+
+
 def op10_packing(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -33,7 +37,7 @@ def _shipped(query):
 
 
 def queries():
-    return {f.__name__: _shipped(f) for f in (op6_mixing, op10_packing, pipeline)}
+    return {f.__name__: _shipped(f) for f in (op6_mixing, op9_ngram_jaccard, op10_packing, pipeline)}
 
 
 #: Same keys and the same order of arithmetic as the operator's.
@@ -65,5 +69,30 @@ SELECT doc_id, source, size, source_size, target, epochs, (epochs * size + great
 """
 
 
+#: Every pair that shares a shingle is counted, so this is for small tables.
+OP9_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS s
+  FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM common JOIN n na ON na.doc_id = x JOIN n nb ON nb.doc_id = y WHERE 100 * c >= 90 * (na.n + nb.n - c)
+), sides AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents
+  UNION
+  SELECT r.x, s.y FROM reach r JOIN sides s ON r.y = s.x
+)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, (SELECT min(r.y) FROM reach r WHERE r.x = d.doc_id) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+
 def oracle_sql():
-    return {"op6_mixing": OP6_SQL}
+    return {"op6_mixing": OP6_SQL, "op9_ngram_jaccard": OP9_SQL}
