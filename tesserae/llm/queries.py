@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from tesserae.llm import jaccard, mixing, packing
+from tesserae.llm import jaccard, mixing, packing, syncmers
 from tesserae.llm.common import read, ship
 from tesserae.llm.tokens import tokenizer_path
 
@@ -13,6 +13,10 @@ def op6_mixing(spark, sf_dir):
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op7_closed_syncmers(spark, sf_dir):
+    return syncmers.fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op9_ngram_jaccard(spark, sf_dir):
     return jaccard.link(read(spark, sf_dir, "documents"), width=3, num=9, den=10)
 
@@ -37,7 +41,7 @@ def _shipped(query):
 
 
 def queries():
-    return {f.__name__: _shipped(f) for f in (op6_mixing, op9_ngram_jaccard, op10_packing, pipeline)}
+    return {f.__name__: _shipped(f) for f in (op6_mixing, op7_closed_syncmers, op9_ngram_jaccard, op10_packing, pipeline)}
 
 
 #: Same keys and the same order of arithmetic as the operator's.
