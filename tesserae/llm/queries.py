@@ -4,11 +4,19 @@ from __future__ import annotations
 
 import functools
 
-from tesserae.llm import jaccard, mixing, packing, syncmers
+from tesserae.llm import jaccard, langid, mixing, packing, pii, syncmers
 from tesserae.llm.common import read, ship
 from tesserae.llm.tokens import tokenizer_path
 
 
+def op3_pii(spark, sf_dir):
+    return pii.report(read(spark, sf_dir, "documents"))
+
+
+def op4_language(spark, sf_dir):
+    return langid.identify(read(spark, sf_dir, "documents"), host_col="source").drop("mark")
+
+
 def op6_mixing(spark, sf_dir):
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -41,7 +49,7 @@ def _shipped(query):
 
 
 def queries():
-    return {f.__name__: _shipped(f) for f in (op6_mixing, op7_closed_syncmers, op9_ngram_jaccard, op10_packing, pipeline)}
+    return {f.__name__: _shipped(f) for f in (op3_pii, op4_language, op6_mixing, op7_closed_syncmers, op9_ngram_jaccard, op10_packing, pipeline)}
 
 
 #: Same keys and the same order of arithmetic as the operator's.
