@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import functools
 
-from tesserae.llm import jaccard, langid, mixing, packing, pii, syncmers
+from tesserae.llm import html, jaccard, langid, mixing, packing, pii, syncmers, topk
 from tesserae.llm.common import read, ship
 from tesserae.llm.tokens import tokenizer_path
 
 
+def op2_html(spark, sf_dir):
+    return html.extract(read(spark, sf_dir, "pages"))
+
+
 def op3_pii(spark, sf_dir):
     return pii.report(read(spark, sf_dir, "documents"))
 
@@ -17,6 +21,10 @@ def op4_language(spark, sf_dir):
     return langid.identify(read(spark, sf_dir, "documents"), host_col="source").drop("mark")
 
 
+def op5_topk(spark, sf_dir):
+    return topk.top_k(read(spark, sf_dir, "embeddings"))
+
+
 def op6_mixing(spark, sf_dir):
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -49,7 +57,7 @@ def _shipped(query):
 
 
 def queries():
-    return {f.__name__: _shipped(f) for f in (op3_pii, op4_language, op6_mixing, op7_closed_syncmers, op9_ngram_jaccard, op10_packing, pipeline)}
+    return {f.__name__: _shipped(f) for f in (op2_html, op3_pii, op4_language, op5_topk, op6_mixing, op7_closed_syncmers, op9_ngram_jaccard, op10_packing, pipeline)}
 
 
 #: Same keys and the same order of arithmetic as the operator's.
@@ -81,6 +89,17 @@ SELECT doc_id, source, size, source_size, target, epochs, (epochs * size + great
 """
 
 
+OP5_SQL = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
 #: Every pair that shares a shingle is counted, so this is for small tables.
 OP9_SQL = r"""
 WITH RECURSIVE w AS (
@@ -107,4 +126,4 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
 
 
 def oracle_sql():
-    return {"op6_mixing": OP6_SQL, "op9_ngram_jaccard": OP9_SQL}
+    return {"op5_topk": OP5_SQL, "op6_mixing": OP6_SQL, "op9_ngram_jaccard": OP9_SQL}
