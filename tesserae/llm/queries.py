@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import functools
 
-from tesserae.llm import html, jaccard, langid, mixing, packing, pii, syncmers, topk
+from tesserae.llm import html, jaccard, langid, mixing, packing, pii, quality, syncmers, tokenfiles, topk
 from tesserae.llm.common import read, ship
 from tesserae.llm.tokens import tokenizer_path
 
 
+def op1_quality(spark, sf_dir):
+    return quality.classify(read(spark, sf_dir, "documents"))
+
+
 def op2_html(spark, sf_dir):
     return html.extract(read(spark, sf_dir, "pages"))
 
@@ -33,6 +37,10 @@ def op7_closed_syncmers(spark, sf_dir):
     return syncmers.fingerprints(read(spark, sf_dir, "documents"))
 
 
+def op8_token_counts(spark, sf_dir):
+    return tokenfiles.token_counts(read(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op9_ngram_jaccard(spark, sf_dir):
     return jaccard.link(read(spark, sf_dir, "documents"), width=3, num=9, den=10)
 
@@ -57,7 +65,7 @@ def _shipped(query):
 
 
 def queries():
-    return {f.__name__: _shipped(f) for f in (op2_html, op3_pii, op4_language, op5_topk, op6_mixing, op7_closed_syncmers, op9_ngram_jaccard, op10_packing, pipeline)}
+    return {f.__name__: _shipped(f) for f in (op1_quality, op2_html, op3_pii, op4_language, op5_topk, op6_mixing, op7_closed_syncmers, op8_token_counts, op9_ngram_jaccard, op10_packing, pipeline)}
 
 
 #: Same keys and the same order of arithmetic as the operator's.
