@@ -64,7 +64,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MAX_EPOCHS) -> DataFr
     kinds = F.array(*[F.lit(w) for w in weights])
     order = Window.orderBy(F.col("source").asc_nulls_last())
     ranked = sizes.withColumn("w", F.get(kinds, F.pmod(F.row_number().over(order) - 1, F.lit(len(weights)))))
-    # By the level at which a source is full; those before it are full as well.
+    # By the level at which a source is full; those before it are full as well. The first
+    # level at which the next source isn't full is the one, and the highest that fits.
     by_level = Window.orderBy((F.col("source_size") / F.col("w")).asc(), F.col("source").asc_nulls_last())
     before = by_level.rowsBetween(Window.unboundedPreceding, -1)
     rest = by_level.rowsBetween(0, Window.unboundedFollowing)
@@ -75,7 +76,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MAX_EPOCHS) -> DataFr
         F.sum("w").over(rest).alias("open_w"))
     level = (F.col("total") - most * F.col("full")).cast("double") / F.col("open_w")
     fits = level * F.col("w") <= (most * F.col("source_size")).cast("double")
-    levels = levels.withColumn("level", F.min(F.when(fits, level)).over(everything))
+    levels = levels.withColumn("level", F.max(F.when(fits, level)).over(everything))
     return levels.select(
         "source", "source_size",
         F.least(F.coalesce(F.col("level") * F.col("w"), F.lit(0.0)), (most * F.col("source_size")).cast("double")).alias("target"))

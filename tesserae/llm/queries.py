@@ -85,7 +85,7 @@ WITH docs AS (
     / sum(w) OVER (ORDER BY source_size::DOUBLE / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM sizes
 ), targets AS (
-  SELECT source, source_size, least(coalesce((SELECT min(level) FROM levels WHERE level * w <= (3 * source_size)::DOUBLE) * w, 0::DOUBLE), (3 * source_size)::DOUBLE) AS target FROM levels
+  SELECT source, source_size, least(coalesce((SELECT max(level) FROM levels WHERE level * w <= (3 * source_size)::DOUBLE) * w, 0::DOUBLE), (3 * source_size)::DOUBLE) AS target FROM levels
 ), budgets AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM targets
 ), run AS (
