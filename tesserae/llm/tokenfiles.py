@@ -80,14 +80,14 @@ def scan_token_files(spark: SparkSession, path: str, end_id: int = END_ID, block
     # The scan: how many documents ended before a block, and where the one that is open there began.
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     n = F.size("after")
-    open_at = F.when(n > 0, F.col("at") + F.element_at("after", -1))
+    open_at = F.when(n > 0, F.col("at") + F.try_element_at("after", F.lit(-1)))
     blocks = blocks.select(
         "file", "at", "last", "after", "tail", F.coalesce(F.sum(n).over(before), F.lit(0)).alias("ended"),
         F.coalesce(F.last(open_at, ignorenulls=True).over(before), F.lit(0)).alias("began"))
     # Ends of the block's documents; a file's last ids, if no separator follows, end where a separator would.
     ends = F.transform("after", lambda x: F.col("at") + x)
     rest = F.col("last") & (F.col("tail") > 0)
-    length = F.col("at") + F.coalesce(F.element_at("after", -1), F.lit(0)) + F.col("tail") + 1
+    length = F.col("at") + F.coalesce(F.try_element_at("after", F.lit(-1)), F.lit(0)) + F.col("tail") + 1
     ends = F.when(rest, F.concat(ends, F.array(length))).otherwise(ends)
     ended = blocks.select("file", "ended", "began", ends.alias("ends")).where(F.size("ends") > 0)
     starts = F.concat(F.array("began"), F.slice("ends", 1, F.size("ends") - 1))

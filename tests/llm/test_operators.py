@@ -1,0 +1,479 @@
+"""The operators against brute force, and their edge cases, on small fixtures."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tesserae.llm import graph, html, jaccard, langid, mixing, packing, pii, quality, syncmers, tokenfiles, topk
+from tesserae.llm.tokens import WordTokenizer, tokenizer_path
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+rng = np.random.default_rng(7)
+VOCABULARY = ["".join(rng.choice(list("aeiourstlnmd"), rng.integers(2, 8))) for _ in range(400)]
+
+
+def prose(n, seed):
+    r = np.random.default_rng(seed)
+    return " ".join(r.choice(VOCABULARY, n))
+
+
+def documents():
+    """Copies, near copies, nulls, empty and white texts, repeated rows, a long text."""
+    rows = [(i, prose(60 + i, i)) for i in range(30)]
+    rows += [(100 + i, prose(60 + i, i)) for i in range(5)]
+    for i in range(12):
+        words = prose(200, 1).split()
+        words[10 * i + 3] = f"changed{i}"
+        rows.append((200 + i, " ".join(words)))
+    rows += [(300, None), (301, ""), (302, " \n\t "), (303, "one"), (304, "One"), (305, "one two"), (306, prose(30_000, 5)), (307, prose(30_000, 5) + " end"), (7, prose(67, 7)), (None, prose(60, 0)), (None, None)]
+    return [(i, t, [None, "en", "fr"][k % 3], [None, "a", "b", "c", "d"][k % 5], k) for k, (i, t) in enumerate(rows)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = spark.createDataFrame(documents(), DOCS).repartition(5)
+    # Names that operators use inside.
+    return rows.withColumns({c: F.lit("x") for c in ("key", "node", "size", "row", "id", "bucket", "mark", "n", "base", "length", "salt", "source_size")})
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.limit(0)
+
+
+def collected(df):
+    return [r.asDict(True) for r in df.collect()]
+
+
+# -- 1 quality
+
+
+def test_quality_finds_bad_texts(spark):
+    good = [(i, "Some words of prose follow each other here. " + prose(80, i).capitalize() + ".") for i in range(60)]
+    bad = [(1000 + i, " ".join(w + "%%%###"[i % 3 :] for w in prose(60, i).split())) for i in range(12)] + [(2000 + i, "SPAM!! " * 40) for i in range(5)]
+    out = {r["doc_id"]: r for r in collected(quality.classify(spark.createDataFrame(good + bad, "doc_id long, text string")))}
+    assert all(out[i]["keep"] for i, _ in good) and sum(not out[i]["keep"] for i, _ in bad) >= len(bad) - 2
+
+
+def test_quality_edges(docs, empty):
+    out = collected(quality.classify(docs))
+    assert Counter(r["doc_id"] for r in out) == Counter(r[0] for r in documents()) and all(0 <= r["score"] <= 1 and 0 <= r["posterior"] <= 1 for r in out)
+    assert collected(quality.classify(empty)) == []
+
+
+def test_em_recovers_accuracies():
+    r = np.random.default_rng(3)
+    truth = r.random(20_000) < 0.7
+    accuracy = np.linspace(0.65, 0.95, len(quality.LABELLERS))
+    votes = np.where(r.random((len(truth), len(accuracy))) < accuracy, truth[:, None], ~truth[:, None]) + 1
+    patterns, counts = np.unique(votes @ 3 ** np.arange(len(accuracy)), return_counts=True)
+    _, table, prior = quality.estimate(patterns, counts)
+    assert abs(prior - 0.7) < 0.02 and np.abs(table[1, :, quality.GOOD] - accuracy).max() < 0.03
+
+
+# -- 2 html
+
+
+PAGE = """<!DOCTYPE html><html><head><title>{t}</title><style>p{{}}</style><script>var x = "</p><p>no";</script></head><body>
+<header class="site"><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="cookie-notice">We use cookies</div>
+{body}<aside>More</aside><div id="comments"><p>I like it</p></div><footer>&copy; us</footer></body></html>"""
+
+
+@pytest.mark.parametrize("body, want", [
+    ("<article><h1>A &amp; B</h1><p>one\n  two<br>three</p><p>x &lt; y</p></article>", "A & B\none two three\nx < y"), ("<article><p>a<p>b<ul><li>c<li>d</ul></article>", "a\nb\nc\nd"),
+    ("<main><header><h1>T</h1></header><p>a <b>b</b>c</p><form><p>no</p></form></main>", "T\na bc"), ("<article><p>a</p><!-- <p>no</p> --><div class='share'>no</div><p title='x > y'>b</p></article>", "a\nb"),
+    ("<p>only</p><div><p>body</p></div>", "only\nbody"), ("<article></article>", ""), ("<article><p><b>bold<p>next</article>", "bold\nnext"), ("<article><p>a &nbsp; b</p><p>1 < 2</p></article>", "a b\n1 < 2"),
+    ("<article><p>t</p><noscript>no</noscript><article class='comment'><p>no</p></article></article>", "t"), ('<article><p class="x>a</p><p>b</p></article>', None)])
+def test_html_cases(spark, body, want):
+    got = collected(html.extract(spark.createDataFrame([(1, "http://h/x", PAGE.format(t="T", body=body))], "page_id long, url string, html string")))[0]
+    if want is not None:
+        assert got["text"] == want and got["n_chars"] == len(want)
+
+
+def test_html_template_and_copies(spark):
+    rows = [(i, f"http://h.example/{i}", f"<html><title>t{i}</title><body><div>Welcome to the site</div><p>text number {i}</p><div><p>All rights</p></div></body></html>") for i in range(20)]
+    rows += [(100 + i, "http://other.example/", "<html><title>same</title><body><div>Not a template</div><p>x</p></body></html>") for i in range(20)]
+    rows += [(200 + i, "http://art.example/", f"<html><title>a{i}</title><body><article><p>A common line</p><p>own {i}</p></article></body></html>") for i in range(20)]
+    rows += [(300, None, None), (301, "", ""), (302, "x", "<<<p <p>"), (303, "x", "plain")]
+    out = {r["page_id"]: r["text"] for r in collected(html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1)).withColumn("mark", F.lit(1))))}
+    assert all(out[i] == f"text number {i}" for i in range(20)) and out[100] == "Not a template\nx" and out[203] == "A common line\nown 3"
+    assert out[300] == out[301] == "" and out[303] == "plain"
+
+
+def test_html_empty(spark):
+    assert collected(html.extract(spark.createDataFrame([], "page_id long, url string, html string"))) == []
+
+
+# -- 3 personal data
+
+
+def luhn(d):
+    return sum(x if i % 2 == 0 else x * 2 - 9 * (x > 4) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
+
+
+def plain_spans(t):
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 12 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
+    out += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(digits(m[0])) <= 15]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("text", [
+    "mail a.b@c.de and x@y no, a@b.c_d@e.f", "1.2.3.4 256.1.1.1 1.2.3.4.5.6.7.8 0001.2.3.4 1.2.3", "4111 1111 1111 1111, 4111-1111-1111-1111 4111  1111", "+1 (743) 555-3824 +49.30.1234567 +1234 ++1 22 33 44 55",
+    "é@ü.de a@b.de.", "@@@@a@@b.c", "9" * 5000, "a" * 5000 + "@", "1.1.1.1@x.yz +1.1.1.1111111", "4111111111111111.5 12.4111111111111111", "+4111111111111111", "",
+])
+def test_base_spans(text):
+    assert pii.base_spans(text) == plain_spans(text)
+
+
+def test_base_spans_random():
+    r = np.random.default_rng(5)
+    for _ in range(3000):
+        t = "".join(r.choice(list("0123456789.- +()@ab_%é\n"), r.integers(1, 60)))
+        assert pii.base_spans(t) == plain_spans(t), t
+
+
+def test_bootstrap_finds_unseen_identifiers(spark):
+    rows = [(i, f"{prose(5, i)} customer number {4000000000000002 if i % 2 else '4111 1111 1111 1111'} {prose(4, i)}") for i in range(12)]
+    rows = [(i, f"{prose(5, i)} contact address user{i}@mail.example {prose(4, i)}") for i in range(20)]
+    rows += [(100, f"{prose(4, 1)} contact address user77(at)mail8899 {prose(3, 2)}"), (101, f"{prose(4, 1)} plain words 12345678 {prose(3, 2)}")]
+    out = {r["doc_id"]: r for r in collected(pii.report(spark.createDataFrame(rows, "doc_id long, text string")))}
+    assert out[100]["n_added"] == 1 and out[100]["spans"].startswith("id:") and out[101]["n_added"] == 0 and out[3]["n_email"] == 1
+
+
+def test_pii_edges(docs, empty):
+    out = collected(pii.report(docs))
+    assert len(out) == len(documents()) and all(r["base_sha256"] == hashlib.sha256(b"").hexdigest() for r in out if not r["spans"])
+    assert collected(pii.report(empty)) == []
+
+
+def test_redaction(spark):
+    rows = spark.createDataFrame([(1, "a x@y.zz b 1.2.3.4", "k"), (2, None, "k"), (1, "clean", None)], "doc_id long, text string, __key string")
+    rows = rows.withColumnRenamed("__key", "mark")
+    assert sorted((r["doc_id"], str(r["text"]), str(r["mark"])) for r in collected(pii.redact(rows))) == [(1, "a [EMAIL] b [IP]", "k"), (1, "clean", "None"), (2, "None", "k")]
+
+
+# -- 4 language
+
+
+def test_languages(spark):
+    vocab = {x: ["".join(np.random.default_rng(k).choice(list(s), 5)) for k in range(60)] for x, s in (("xx", "abcdefg"), ("yy", "mnopqrs"))}
+    rows = [(i, " ".join(np.random.default_rng(i).choice(vocab[x], 40)), x if i % 4 else None, f"http://www.site.{x}/p" if i % 3 else None) for i in range(80) for x in [("xx", "yy")[i % 2]]]
+    rows += [(200, "!! 123", "xx", "http://a.xx/"), (201, None, None, None), (202, "", "yy", ""), (203, "m", "xx-GB", "http://www.site.xx/")]
+    out = {r["doc_id"]: r for r in collected(langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, url string"), url_col="url"))}
+    assert all(out[i]["lang"] == ("xx", "yy")[i % 2] and out[i]["keep"] for i in range(80))
+    assert all(out[i]["lang"] == "und" and not out[i]["keep"] and out[i]["posterior"] == 0 for i in (200, 201, 202, 203))
+
+
+def test_language_edges(docs, empty):
+    assert len(collected(langid.identify(docs, host_col="source"))) == len(documents())
+    assert collected(langid.identify(empty, host_col="source")) == []
+    assert {r["lang"] for r in collected(langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))))} == {"und"}
+    kept = langid.kept(docs, host_col="source")
+    assert kept.columns == docs.columns and kept.where("length(trim(text)) = 0 or text is null").count() == 0
+
+
+def test_trigrams_of_long_texts():
+    text = prose(300_000, 3).encode()
+    assert langid.trigram_counts(text).sum() == len(text) - 2
+
+
+# -- 5 top-k
+
+
+def exact(rows, k):
+    ints = {i: [int(np.floor(64 * float(x))) for x in v] for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    out = []
+    for q in ints:
+        if q % 20 == 0:
+            best = sorted((-sum(a * b for a, b in zip(ints[q], v)), i) for i, v in ints.items() if i != q)[:k]
+            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block, queries", [(8192, 2048), (37, 3)])
+def test_top_k(spark, monkeypatch, block, queries):
+    monkeypatch.setattr(topk, "BLOCK", block)
+    monkeypatch.setattr(topk, "QUERIES", queries)
+    r = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in r.normal(size=8) / 2]) for i in range(200)] + [(1000 + i, [0.5] * 8) for i in range(60)]
+    rows += [(2000, None), (2020, [1.0, None] * 4), (2040, [float("nan")] * 8), (2060, [float("inf")] * 8), (None, [1.0] * 8), (2080, [0.0] * 8), (2100, []), (2120, [1.0] * 3), (-20, [-1.0] * 8)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit(0)).withColumn("block", F.lit(0)), k=20)
+    rows32 = [(i, v if v is None else [x if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
+    assert sorted(map(tuple, got.collect())) == exact(rows32, 20)
+
+
+def test_top_k_small(spark):
+    rows = spark.createDataFrame([(0, [1.0]), (0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
+    assert [tuple(r) for r in topk.top_k(rows).collect()] == [(0, 1, 1, 64 * 128)]
+    assert topk.top_k(rows.limit(0)).collect() == []
+
+
+# -- 6 mixing
+
+
+def shares(sizes, weights=(5, 2, 1), most=3):
+    names = sorted(sizes, key=lambda x: (x is None, (x or "").encode()))
+    w, fixed = {n: weights[i % len(weights)] for i, n in enumerate(names)}, {}
+    while True:
+        rest = [n for n in names if n not in fixed]
+        left = sum(sizes.values()) - sum(fixed.values())
+        t = {n: left * w[n] / sum(w[m] for m in rest) for n in rest}
+        over = [n for n in rest if t[n] > most * sizes[n]]
+        if not over:
+            return {**t, **fixed}
+        fixed.update({n: most * sizes[n] for n in over})
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_mixing(spark, seed):
+    r = np.random.default_rng(seed)
+    names = [None, "", *"abcdefgh"][: 3 + 2 * seed]
+    rows = [(i, prose(int(r.integers(0, 200 if names[i % len(names)] else 9)), i) if i % 17 else None, names[int(len(names) * (i % 97 / 97) ** 2)]) for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("key", F.lit(1)).withColumn("bucket", F.lit(1))
+    out = collected(mixing.mix(frame))
+    sizes, taken = defaultdict(int), defaultdict(int)
+    for x in out:
+        assert x["taken"] <= 3 * x["size"] and x["taken"] in range(x["epochs"] * x["size"], (x["epochs"] + 1) * x["size"] + 1)
+        sizes[x["source"]] += x["size"]
+        taken[x["source"]] += x["taken"]
+    want = shares(sizes)
+    for x in out:
+        assert x["target"] == pytest.approx(want[x["source"]], abs=1e-6) and x["source_size"] == sizes[x["source"]]
+    assert all(abs(taken[n] - want[n]) <= 1 for n in want)
+    assert sorted(map(str, out)) == sorted(map(str, collected(mixing.mix(frame.repartition(3)))))
+    copies = mixing.mixed_documents(frame)
+    assert copies.columns == frame.columns
+    made = defaultdict(int)
+    for x in copies.collect():
+        made[x.doc_id] += len(x.text.split())
+    assert all(made[x["doc_id"]] == x["taken"] for x in out)
+
+
+def test_mixing_edges(docs, empty):
+    out = collected(mixing.mix(docs))
+    assert len(out) == len(documents()) and all(r["size"] == 0 == r["taken"] for r in out if r["doc_id"] in (300, 301, 302))
+    assert collected(mixing.mix(empty)) == [] and mixing.mixed_documents(empty).count() == 0
+
+
+# -- 7 fingerprints
+
+
+def plain_anchors(text, k=syncmers.K, s=syncmers.S):
+    symbols = re.findall(r"[^\x20\x09-\x0D]{1,16}", text)
+    return symbols
+
+
+def test_closed_syncmers(spark):
+    texts = [prose(50, 1), prose(5, 2), "", " ", prose(7, 3), "x" * 100, "漢字" * 20]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    symbols = F.regexp_extract_all("text", F.lit(syncmers.SYMBOL), F.lit(0))
+    out = rows.select("id", syncmers.anchors(F.col("text")).alias("a"), F.transform(symbols, lambda x: F.xxhash64(x)).alias("h")).orderBy("id").collect()
+    pairs = spark.createDataFrame([(int(r.h[i]), int(r.h[i + 1])) for r in out for i in range(len(r.h) - 1)], "x long, y long").distinct()
+    sub = {(r.x, r.y): r.z for r in pairs.select("x", "y", F.xxhash64("x", "y").alias("z")).collect()}
+    for r in out:
+        h, k = r.h, syncmers.K
+        if len(h) >= k:
+            m = [sub[h[i], h[i + 1]] for i in range(len(h) - 1)]
+            want = [i for i in range(len(h) - k + 1) if min(m[i : i + k - 1]) in (m[i], m[i + k - 2])]
+            assert [a.pos for a in r.a] == want
+        else:
+            assert len(r.a) == (1 if h else 0)
+
+
+def test_fingerprints(docs, empty):
+    rows = documents()
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""), reverse=True)
+    texts = [r[1] or "" for r in order]
+    want = Counter()
+    for i, (r, t) in enumerate(zip(order, texts)):
+        n, nxt = len(t), texts[(i + 1) % len(texts)]
+        want[r[0], n, hashlib.sha256((t[: n - n // 2] + nxt[: n // 2]).encode()).hexdigest()] += 1
+    out = collected(syncmers.fingerprints(docs))
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in out) == want
+    prints = {r["doc_id"]: r["fingerprint"] for r in out}
+    assert prints[101] == prints[1] and prints[2] != prints[1] and prints[300] == prints[301] == ""
+    long = [r for r in out if r["n_chars"] > 400]
+    assert all(0.1 < r["near_edited"] <= 1 for r in long) and all(0 <= r["near_next"] <= 1 for r in out)
+    assert collected(syncmers.fingerprints(empty)) == []
+
+
+def test_fingerprints_in_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(syncmers, "NEIGHBOURS", 3)
+    monkeypatch.setattr(syncmers, "QUANTILES", 4)
+    rows = [(int(i) ** 2 - 500, prose(10, int(i))) for i in range(100)] + [(None, "x"), (None, "y")]
+    out = collected(syncmers.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")))
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]), reverse=True)
+    want = {(r[0], hashlib.sha256((t[: len(t) - len(t) // 2] + order[(i + 1) % len(order)][1][: len(t) // 2]).encode()).hexdigest()) for i, r in enumerate(order) for t in [r[1]]}
+    assert {(r["doc_id"], r["edited_sha256"]) for r in out} == want
+
+
+def test_matched_positions(spark):
+    a, b = prose(60, 1), prose(9, 2) + " " + prose(60, 1)
+    rows = lambda i, t: spark.createDataFrame([(i, t)], "id int, text string").select("id", syncmers.anchors(F.col("text")).alias("anchors"))
+    best = syncmers.matched_positions(rows(1, a), rows(2, b)).orderBy(F.col("n").desc()).first()
+    assert best["shift"] == 9 and best["n"] >= 8
+
+
+# -- 8 token files
+
+
+def test_token_counts(docs, empty):
+    tok = WordTokenizer(tokenizer_path(), special_as_text=True)
+    want = Counter(len(tok.ids((r[1] or "").encode())) // 4 for r in documents())
+    out = collected(tokenfiles.token_counts(docs, tokenizer_path()))
+    assert Counter(r["n_tokens"] for r in out) == want
+    assert collected(tokenfiles.token_counts(empty, tokenizer_path())) == []
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 7, 1000])
+def test_separator_scan(spark, tmp_path, block):
+    files = {"a": [5, 9, 1, 2, 9, 9, 3], "b": [9], "c": [], "d": [1, 2, 3], "e": [1] * 10 + [9] + [2] * 10 + [9]}
+    for name, ids in files.items():
+        (tmp_path / name).write_bytes(np.array(ids, "<u2").tobytes())
+    want = []
+    for name, ids in files.items():
+        start = n = 0
+        for i, x in enumerate([*ids, *([9] if ids and ids[-1] != 9 else [])]):
+            if x == 9:
+                want.append((name, n, start, i - start))
+                n, start = n + 1, i + 1
+    got = tokenfiles.scan_token_files(spark, str(tmp_path), end_id=9, block=block)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_odd_file_is_refused(spark, tmp_path):
+    (tmp_path / "x").write_bytes(b"abc")
+    with pytest.raises(Exception, match="odd number"):
+        tokenfiles.scan_token_files(spark, str(tmp_path)).collect()
+
+
+# -- 9 joins
+
+
+def plain_components(rows, width, num, den):
+    sets = []
+    for _, t, *_ in rows:
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if x]
+        sets.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
+    group = list(range(len(rows)))
+    def find(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j]):
+                group[find(i)] = find(j)
+    low = {}
+    for i, r in enumerate(rows):
+        if r[0] is not None:
+            low[find(i)] = min(low.get(find(i), r[0]), r[0])
+    return Counter((r[0], len(sets[i]), low.get(find(i)) if sets[i] else r[0]) for i, r in enumerate(rows))
+
+
+def near_copies(seed, n=80):
+    """Chains of near copies about the threshold, of all sizes."""
+    r = np.random.default_rng(seed)
+    rows, words = [], prose(int(r.integers(3, 200)), seed).split()
+    for i in range(n):
+        if i % 13 == 0:
+            words = prose(int(r.integers(3, 300)), seed * 100 + i).split()
+        words = list(words)
+        for _ in range(int(r.integers(0, 3))):
+            words[int(r.integers(0, len(words)))] = f"w{r.integers(0, 1000)}"
+        rows.append((int(i * 7 % n), " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("width, num, den, seed, block", [(3, 9, 10, 1, 2048), (5, 4, 5, 2, 2048), (3, 9, 10, 3, 2), (2, 1, 2, 4, 3)])
+def test_links(spark, monkeypatch, width, num, den, seed, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rows = near_copies(seed)
+    out = jaccard.link(spark.createDataFrame(rows, "doc_id long, text string"), width, num, den)
+    assert Counter(map(tuple, out.collect())) == plain_components(rows, width, num, den)
+
+
+def test_link_edges(docs, empty):
+    out = jaccard.link(docs, 3, 9, 10)
+    assert out.columns == ["doc_id", "n_shingles", "component_id"] and Counter(map(tuple, out.collect())) == plain_components(documents(), 3, 9, 10)
+    assert jaccard.link(empty).collect() == []
+    stay = jaccard.without_copies(docs, 3, 9, 10)
+    assert stay.columns == docs.columns
+    ids = [r.doc_id for r in stay.select("doc_id").collect()]
+    assert ids.count(7) == 1 and 101 not in ids and 200 in ids and 205 not in ids and 300 in ids
+
+
+def test_sketch_bounds_difference():
+    r = np.random.default_rng(1)
+    for _ in range(200):
+        a = r.integers(0, 2**63, int(r.integers(1, 3000))).astype(np.uint64)
+        b = np.concatenate([a[int(r.integers(0, len(a))) :], r.integers(0, 2**63, 20).astype(np.uint64)])
+        x, y = jaccard.sketch(np.unique(a)), jaccard.sketch(np.unique(b))
+        w = min(len(x), len(y))
+        apart = np.bitwise_count(jaccard.fold(x, w) ^ jaccard.fold(y, w)).sum()
+        assert apart <= len(np.setxor1d(a, b))
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 300), (5, 5), (None, 3), (500, 400)]
+    out = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert out == {**{i: 0 for i in range(1, 41)}, 200: 100, 300: 100, 500: 400}
+
+
+# -- 10 packing
+
+
+def test_packing(docs, empty):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    want = Counter()
+    for i, text, *_ in documents():
+        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        for n, at in enumerate(range(0, len(ids), 2048)):
+            part = ids[at : at + 2048]
+            want[i, n, at, len(part), zlib.crc32(part.tobytes())] += 1
+    out = collected(packing.pack(docs, tokenizer_path()))
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out) == want
+    held = defaultdict(list)
+    for r in out:
+        held[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in held.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert packing.pack(empty, tokenizer_path()).collect() == []
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_plan(seed):
+    r = np.random.default_rng(seed)
+    capacity = [8, 50, 2048][seed % 3]
+    counts = Counter(int(x) for x in np.minimum(capacity, 1 + r.geometric(3 / capacity, 5000)))
+    bins = packing.plan_bins(counts, capacity)
+    used = Counter()
+    for lengths, copies in bins:
+        assert sum(lengths) <= capacity and copies > 0
+        for x in lengths:
+            used[x] += copies
+    total = sum(k * n for k, n in counts.items())
+    assert used == counts and sum(c for _, c in bins) <= 1.01 * total / capacity + 2
+
+
+def test_tokens_are_the_tokenizers_own():
+    from tokenizers import Tokenizer
+
+    t, own = Tokenizer.from_file(tokenizer_path()), WordTokenizer(tokenizer_path())
+    texts = ["Don't STOP, it's 1,234.5!", "ÉCOLE É\tÜber ß İ Σας", "a\x1cb\x85c\xa0d e", "<|endoftext|> x<|startoftext|>y <|EndOfText|>", "漢字かな 한국어 ไทย", "x" * 300, "😀👍🏽 ﬁ №", "\x00 \x0b\x0c", "...!?,, '' \"q\" a'sb"]
+    for x in [*texts, " ".join(texts), prose(500, 1)]:
+        assert np.frombuffer(own.ids(x.encode()), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, x
