@@ -121,11 +121,12 @@ def _with_bucket(rows: DataFrame) -> DataFrame:
     step = max(1, int(len(cuts) ** 0.5))
     rough = F.split(F.lit(",".join(map(str, cuts[::step]))), ",").cast("array<bigint>")
     exact = F.split(F.lit(",".join(map(str, [*cuts, high + 1]))), ",").cast("array<bigint>")
-    upto = lambda array: F.size(F.filter(array, lambda c: c <= F.col("id")))
+    known = F.coalesce("id", F.lit(low))
+    upto = lambda array: F.size(F.filter(array, lambda c: c <= known))
     rows = rows.withColumn("__r", (upto(rough) - 1) * step)
     rows = rows.withColumn("__c", F.col("__r") + upto(F.slice(exact, F.col("__r") + 1, F.lit(step))) - 1)
     start, end = F.get(exact, F.col("__c")), F.get(exact, F.col("__c") + 1)
-    within = F.least(F.lit(finer - 1), F.floor((F.col("id") - start) * finer / (end - start)))
+    within = F.least(F.lit(finer - 1), F.floor((known - start) * finer / (end - start)))
     bucket = F.when(F.col("id").isNull(), -1).otherwise(F.col("__c").cast("long") * finer + within)
     return rows.withColumn("bucket", bucket.cast("long")).drop("__r", "__c")
 
