@@ -81,7 +81,7 @@ def document_weight(words: Column) -> Column:
         same = a["word"].eqNullSafe(w)
         return F.struct(w.alias("word"), F.when(same, a["f"] + 1.0).otherwise(1.0).alias("f"), F.when(same, a["sum"]).otherwise(a["sum"] + square(a["f"])).alias("sum"))
 
-    return F.aggregate(F.array_sort(words), start, step, lambda a: F.sqrt(a["sum"] + square(a["f"])))
+    return F.aggregate(F.sort_array(words), start, step, lambda a: F.sqrt(a["sum"] + square(a["f"])))
 
 
 def glob_pattern(glob: str) -> tuple[str, str]:
