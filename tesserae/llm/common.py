@@ -75,3 +75,17 @@ def column_or_null(df: DataFrame, name: str | None, kind: str):
     if name is not None and name in df.columns:
         return df[name].cast(kind)
     return F.lit(None).cast(kind)
+
+
+#: Rows of a few dozen bytes up to which ``without`` broadcasts what it removes.
+BROADCAST_ROWS = 200_000
+
+
+def without(df: DataFrame, gone: DataFrame, condition) -> DataFrame:
+    """``df`` without the rows that ``gone``, a narrow table, matches; ``df`` keeps its columns.
+
+    Few rows to remove are broadcast, after they have been counted, and ``df`` isn't
+    shuffled; with more both sides are.
+    """
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return df.join(gone, condition, "left_anti")

@@ -9,9 +9,9 @@ so the Hamming distance of two sketches never exceeds D.
 
 * Size bands: a scheme serves sets of one band and the somewhat larger ones that a set
   of the band can be similar to. It knows the largest D that a link can have, d, and
-  splits the hashed elements into d + 1 segments of 64 sketch bits each. By the
-  pigeonhole principle, linked sets agree in one whole segment at least, and meet in
-  the bucket of that segment's bits.
+  splits the hashed elements into d + 1 segments, each with 64 sketch bits: the XOR of
+  its elements' hashes. By the pigeonhole principle, linked sets agree in one whole
+  segment at least, and meet in the bucket of that segment's bits.
 * Star round: in each bucket, members meet its first member only. Pairs whose wider
   sketches are near enough are verified on the sets; components follow.
 * Rest: buckets whose members are still in several components compare the pairs of
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import materialise, narrowed
+from tesserae.llm.common import materialise, narrowed, without
 from tesserae.llm.graph import components
 
 #: Members of a bucket that are compared in one task at a time.
@@ -41,8 +41,14 @@ MAX_WORDS = 1_000_000
 FILTER_BITS = 1 << 24
 #: Sketch bits: at least, at most.
 SKETCH_BITS = (256, 1 << 15)
+#: Divisions into segments that are tried for sets with an empty segment.
+LEVELS = 4
+
+#: Nodes that a task remembers, and the bits of a bucket's key that are shuffled.
+MAX_SEEN = 200_000
 
 U = np.uint64
+KEY_MASK = U((1 << 48) - 1)
 
 
 class _Hashes(dict):
@@ -104,19 +110,30 @@ class Schemes:
         return out
 
     def keys(self, elements: np.ndarray) -> np.ndarray:
+        """Bucket keys of a set.
+
+        Segments without bits would gather unrelated sets in one bucket. Sets that agree in
+        such segments alone both have one, and meet on another division of the elements
+        instead; the last division keeps all its segments.
+        """
         out = []
         for scheme in self.of(len(elements)):
             m = self.segments(scheme)
-            bits = np.zeros(m, U)
-            np.bitwise_xor.at(bits, ((elements >> U(40)) % U(m)).astype(np.int64), U(1) << (_mix(elements + U(scheme)) >> U(58)))
-            out.append(_mix(bits + _mix(np.arange(m, dtype=U) * U(0x9E3779B97F4A7C15) + U(scheme + 1))))
+            for level in range(LEVELS):
+                h = _mix(elements + U(1000 * level + scheme))
+                bits = np.zeros(m, U)
+                np.bitwise_xor.at(bits, ((h >> U(32)) % U(m)).astype(np.int64), _mix(h))
+                use = np.flatnonzero(bits) if level < LEVELS - 1 else np.arange(m)
+                out.append(_mix(bits[use] + _mix(use.astype(U) * U(0x9E3779B97F4A7C15) + U(1000 * level + scheme + 1))))
+                if len(use) == m:
+                    break
         return np.concatenate(out)
 
 
 def sketch(elements: np.ndarray) -> np.ndarray:
-    """Parity sketch of about one bit an element, a power of two wide."""
+    """Parity sketch of a bit for up to four elements, a power of two wide: enough to tell unrelated sets apart."""
     bits = SKETCH_BITS[0]
-    while bits < len(elements) and bits < SKETCH_BITS[1]:
+    while 4 * bits < len(elements) and bits < SKETCH_BITS[1]:
         bits *= 2
     at = elements & U(bits - 1)
     words = np.zeros(bits // 64, U)
@@ -129,25 +146,59 @@ def fold(words: np.ndarray, width: int) -> np.ndarray:
     return np.bitwise_xor.reduce(words.reshape(-1, width), axis=0)
 
 
-def _documents(width: int, schemes: Schemes):
+def _node(elements: np.ndarray) -> int:
+    x = xxhash.xxh3_64_intdigest(elements.tobytes())
+    return x - (x >> 63 << 64)
+
+
+def _documents(width: int):
+    """(doc_id, text) -> (doc_id, n, node, sketch); node and sketch null for an empty set."""
+
     def run(batches):
         for batch in batches:
-            ids, n, nodes, sketches, keys = [], [], [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            n, nodes, sketches = [], [], []
+            for text in batch.column(1):
                 s = shingle_set(text.as_py() or b"", width)
-                ids.append(doc_id)
                 n.append(len(s))
-                nodes.append(xxhash.xxh3_64_intdigest(s.tobytes()) if len(s) else None)
+                nodes.append(_node(s) if len(s) else None)
                 sketches.append(sketch(s).tobytes() if len(s) else None)
-                keys.append(schemes.keys(s).view(np.int64) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array([None if x is None else x - (x >> 63 << 64) for x in nodes], pa.int64()),
-                 pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "node", "sketch", "keys"])
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary())], names=["doc_id", "n", "node", "sketch"])
+
+    return run
+
+
+def _keys(width: int, schemes: Schemes):
+    """Texts -> (key, node); a task gives a node's keys once, while it remembers the node."""
+
+    def run(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            keys, nodes, held = [], [], 0
+            for text in batch.column(0):
+                s = shingle_set(text.as_py() or b"", width)
+                node = _node(s)
+                if not len(s) or node in seen:
+                    continue
+                if len(seen) >= MAX_SEEN:
+                    seen.clear()
+                seen.add(node)
+                keys.append(schemes.keys(s) & KEY_MASK)
+                nodes.append(np.full(len(keys[-1]), node, np.int64))
+                held += len(keys[-1])
+                if held >= 200_000:
+                    yield _columns(key=np.concatenate(keys), node=np.concatenate(nodes))
+                    keys, nodes, held = [], [], 0
+            if keys:
+                yield _columns(key=np.concatenate(keys), node=np.concatenate(nodes))
 
     return run
 
 
+def _columns(**arrays) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in arrays.values()], names=list(arrays))
+
+
 def _shared_buckets(batches):
     """Sorted (key, node) -> (key, node, pivot) of keys with two nodes at least, in constant memory."""
     key = pivot = None
@@ -176,7 +227,7 @@ def _shared_buckets(batches):
         alone = not many[-1] if len(starts) else alone and not many[0]
         key, pivot = k[-1], pivots[-1]
         if len(ks):
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (ks, vs, ps)], names=["key", "node", "pivot"])
+            yield _columns(key=ks, node=vs, pivot=ps)
 
 
 def _near(num: int, den: int):
@@ -241,36 +292,43 @@ def _pairs(pairs: set) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([int(p[i]) for p in sorted(pairs)], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
-def _wanted(width: int, bitmap: np.ndarray):
-    """Texts -> (node, n, elements) of the nodes in the filter; a task gives a node once, while it remembers."""
+def _place(node: int, doc_id: int | None) -> int:
+    """Bit of the filter for a document that stands for its node."""
+    return xxhash.xxh3_64_intdigest(f"{node}:{doc_id}".encode()) & (FILTER_BITS - 1)
+
+
+def _places(batches):
+    for batch in batches:
+        at = [_place(*x) for x in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64())], names=["at"])
+
+
+def _wanted(width: int, bitmap):
+    """(doc_id, text) -> (node, n, elements) of the documents in the filter."""
 
     def run(batches):
-        bits, seen = bitmap.value, set()
+        bits = bitmap.value
         for batch in batches:
             nodes, sizes, sets = [], [], []
-            for text in batch.column(0):
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 s = shingle_set(text.as_py() or b"", width)
                 if not len(s):
                     continue
-                x = xxhash.xxh3_64_intdigest(s.tobytes())
-                at = x & (FILTER_BITS - 1)
-                if x in seen or not int(bits[at >> 6]) >> (at & 63) & 1:
-                    continue
-                if len(seen) > 200_000:
-                    seen.clear()
-                seen.add(x)
-                nodes.append(x - (x >> 63 << 64))
-                sizes.append(len(s))
-                sets.append(s.view(np.int64))
+                x = _node(s)
+                at = _place(x, doc_id)
+                if int(bits[at >> 6]) >> (at & 63) & 1:
+                    nodes.append(x)
+                    sizes.append(len(s))
+                    sets.append(s.view(np.int64))
             if nodes:
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "n", "elements"])
 
     return run
 
 
-def _filter_of(nodes: DataFrame) -> np.ndarray:
-    """Bitmap of the nodes' low bits; at most FILTER_BITS / 64 rows reach the driver."""
-    low = nodes.select(F.col("node").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("at"))
+def _filter_of(documents: DataFrame) -> np.ndarray:
+    """Bitmap of documents (node, doc_id); at most FILTER_BITS / 64 rows reach the driver."""
+    low = documents.select("node", "doc_id").mapInArrow(_places, "at long")
     word = low.groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
     out = np.zeros(FILTER_BITS // 64, U)
     for w, bits in word.collect():
@@ -290,16 +348,16 @@ def link(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, id_col: st
     schemes = Schemes(num, den)
     rows = narrowed(docs, doc_id=id_col, text=text_col)
     rows = rows.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-    found = materialise(rows.mapInArrow(_documents(width, schemes), "doc_id long, n long, node long, sketch binary, keys array<long>"), "sets")
+    found = materialise(rows.mapInArrow(_documents(width), "doc_id long, n long, node long, sketch binary"), "sets")
 
-    nodes = found.where("n > 0").dropDuplicates(["node"])
-    keyed = nodes.select(F.explode("keys").alias("key"), "node").repartition("key").sortWithinPartitions("key", "node")
+    keyed = rows.select("text").mapInArrow(_keys(width, schemes), "key long, node long")
+    keyed = keyed.repartition("key").sortWithinPartitions("key", "node")
     buckets = materialise(keyed.mapInArrow(_shared_buckets, "key long, node long, pivot long"), "buckets")
-    sketches = found.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "n", "sketch").dropDuplicates(["node"])
+    # Of a node's documents the smallest id stands for it; equal sets have equal sketches.
+    sketches = found.join(buckets.select("node").distinct(), "node", "left_semi").groupBy("node", "n", "sketch").agg(F.min("doc_id").alias("doc_id"))
     sketches = materialise(sketches, "sketches")
     bitmap = docs.sparkSession.sparkContext.broadcast(_filter_of(sketches))
-    sets = rows.select("text").mapInArrow(_wanted(width, bitmap), "node long, n long, elements array<long>")
-    sets = materialise(sets.join(sketches.select("node"), "node", "left_semi").dropDuplicates(["node"]), "elements")
+    sets = materialise(rows.mapInArrow(_wanted(width, bitmap), "node long, n long, elements array<long>"), "elements")
 
     def both(pairs: DataFrame, of: DataFrame, *columns: str) -> DataFrame:
         out = pairs
@@ -341,9 +399,17 @@ def link(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, id_col: st
 def without_copies(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that name their component; of repeated rows one stays.
 
-    All columns stay as they are. Rows without an id stay unless they are linked to a
-    document that has one.
+    All columns stay as they are. Rows without an id stay unless all of those are linked to
+    documents that have one; of rows that share an id all texts stay if one names its component.
     """
-    linked = link(docs, width, num, den, id_col, text_col)
-    stay = linked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stays")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(F.col("__stays")), "left_semi").dropDuplicates([id_col, text_col])
+    linked = materialise(link(docs, width, num, den, id_col, text_col), "linked")
+    names_it = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    ids = linked.groupBy("doc_id").agg(F.bool_or(names_it).alias("stays"), F.count(F.lit(1)).alias("rows"))
+    gone = materialise(ids.where("not stays").select(F.col("doc_id").alias("__gone")), "copies")
+    kept = without(docs, gone, docs[id_col].cast("long").eqNullSafe(F.col("__gone")))
+    again = ids.where("stays and rows > 1 and doc_id is not null").select(F.col("doc_id").alias("__again"))
+    if again.isEmpty():
+        return kept
+    # Only rows of repeated ids are compared with each other.
+    repeated = F.col(id_col).cast("long") == F.col("__again")
+    return kept.join(again, repeated, "left_anti").unionByName(kept.join(again, repeated, "left_semi").dropDuplicates([id_col, text_col]))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import column_or_null, materialise
+from tesserae.llm.common import column_or_null, materialise, without
 
 #: Labelled rows that the text model is fitted on, at most.
 SAMPLE = 2000
@@ -185,5 +185,6 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
 def kept(docs: DataFrame, **how) -> DataFrame:
     """The documents whose language is sure enough, all columns as they are."""
     id_col, text_col = how.get("id_col", "doc_id"), how.get("text_col", "text")
-    stay = identify(docs, **how).where("keep").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()
-    return docs.join(stay, docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__mark")), "left_semi")
+    gone = identify(docs, **how).where(~F.col("keep")).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()
+    gone = materialise(gone, "rejected")
+    return without(docs, gone, docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__mark")))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.llm.common import materialise, narrowed
+from tesserae.llm.common import BROADCAST_ROWS, materialise, narrowed
 
 #: In the order in which spans of one start are listed; the last is what the method adds.
 KINDS = ("email", "ip", "card", "phone", "id")
@@ -222,6 +222,10 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     Overlapping spans make one, of the first's kind. All other columns and all rows stay.
     """
     added = detect(docs, id_col, text_col).where(F.size("added") > 0).select(F.col("mark").alias("__mark"), F.col("added").alias("__added")).dropDuplicates(["__mark"])
+    added = materialise(added, "pii-added")
+    # Few spans are broadcast, after they have been counted; with more the texts are shuffled.
+    if (added.agg(F.sum(F.size("__added"))).first()[0] or 0) <= BROADCAST_ROWS:
+        added = F.broadcast(added)
     names = docs.columns
     at = names.index(text_col)
 
