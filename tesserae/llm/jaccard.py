@@ -36,7 +36,7 @@ from tesserae.llm.graph import components
 #: Members of a bucket that are compared in one task at a time.
 BLOCK = 2048
 #: Words whose hashes a worker keeps.
-MAX_WORDS = 1_000_000
+MAX_WORDS = 150_000
 #: Bits of the filter of nodes whose sets are wanted: 2 MB, whatever the corpus holds.
 FILTER_BITS = 1 << 24
 #: Sketch bits: at least, at most.
@@ -45,7 +45,7 @@ SKETCH_BITS = (256, 1 << 15)
 LEVELS = 4
 
 #: Nodes that a task remembers, and the bits of a bucket's key that are shuffled.
-MAX_SEEN = 200_000
+MAX_SEEN = 100_000
 
 U = np.uint64
 KEY_MASK = U((1 << 48) - 1)
