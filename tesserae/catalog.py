@@ -6,11 +6,11 @@ few documents that its words select. Results are lazy DataFrames.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Mapping
 from dataclasses import dataclass, replace
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.errors import CatalogError
@@ -137,7 +137,7 @@ class Catalog:
         With ``merge=False`` rows carry ``sort_key_`` and aren't ordered, for ``merged``.
         ``compat_set_bonus`` adds 1 to scores for every index without scores in the query.
         """
-        request = q.canonical(q.merged(query, more)) if not _sorts(more, query) else q.canonical_but(q.merged(query, more), q.SORTING)
+        request = q.canonical_but(q.merged(query, more), q.SORTING)
         order, window = q.SortOrder.of(request), q.Window.of(request)
         sort_kinds = [self.kind(n) for n in order.names] if order else []
         if order:
@@ -304,10 +304,6 @@ class Catalog:
         return replace_rows(self, self.rows.drop(*self.stored_columns(name)), self.spec.del_index(name))
 
 
-def _sorts(*requests: Mapping | None) -> bool:
-    return any(r and set(q.SORTING) & set(r) for r in requests)
-
-
 def replace_rows(catalog: Catalog, rows: DataFrame, spec: CatalogSpec) -> Catalog:
     return Catalog(rows, spec, catalog.report)
 
