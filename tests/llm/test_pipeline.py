@@ -1,10 +1,8 @@
 import corpus_pipeline
-import pytest
 from pyspark.sql import functions as F
 
-from tesserae.llm import jaccard, langid, mixing, packing, pii
+from tesserae.llm import mixing
 from tesserae.llm.common import read
-from tesserae.llm.tokens import tokenizer_path
 
 from test_operators import documents, plain_components, plain_spans
 
