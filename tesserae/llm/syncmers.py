@@ -38,8 +38,8 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 def anchors(text: Column, k: int = K, s: int = S) -> Column:
     """Array of (pos, hash) of the closed syncmers of a text, in its order; pos counts symbols from 0.
 
-    A text of fewer than k symbols has one anchor, the hash of all; one without symbols
-    has none. Null counts as empty. The work is linear in the text's length.
+    A text of fewer than k symbols has no windows: its symbols themselves are its anchors.
+    Null counts as empty. The work is linear in the text's length.
     """
     symbols = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SYMBOL), F.lit(0)), lambda x: F.xxhash64(x))
     inner = k - s + 1
@@ -61,12 +61,9 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
 
         return _let(subs, at)
 
-    none = F.array().cast("array<struct<pos:int,hash:bigint>>")
-    short = F.array(F.struct(F.lit(0).alias("pos"), F.lit(0).cast("bigint").alias("hash")))
-
     def whole(h: Column) -> Column:
-        one = F.transform(short, lambda x: F.struct(x["pos"].alias("pos"), F.xxhash64(h).alias("hash")))
-        return F.when(F.size(h) == 0, none).when(F.size(h) < k, one).otherwise(windows(h))
+        each = F.transform(h, lambda x, i: F.struct(i.alias("pos"), x.alias("hash")))
+        return F.when(F.size(h) < k, each).otherwise(windows(h))
 
     return _let(symbols, whole)
 
