@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import materialise, narrowed
+from tesserae.llm.common import BROADCAST_ROWS, materialise, narrowed
 
 #: A subtree is template if it stands under this many titles of its host, and this share of them.
 TITLES, SHARE = 5, 0.05
@@ -213,6 +213,10 @@ def extract(pages: DataFrame, titles: int = TITLES, share: float = SHARE, id_col
     hosts = found.groupBy("host", "title").agg(F.count(F.lit(1)).alias("n")).groupBy("host").agg(F.count(F.lit(1)).alias("all"))
     template = counted.join(hosts, "host").where(F.col("under") >= share * F.col("all")).select("host", "hash")
     delete = seen.join(template, ["host", "hash"]).groupBy(F.col("mark").alias("m")).agg(F.collect_set("hash").alias("delete"))
+    delete = materialise(delete, "template")
+    # What few pages lose is broadcast, after it has been counted; with more the texts are shuffled.
+    if (delete.agg(F.sum(F.size("delete"))).first()[0] or 0) <= BROADCAST_ROWS:
+        delete = F.broadcast(delete)
 
     out = found.join(delete, F.col("mark") == F.col("m"), "left")
     stay = F.filter("blocks", lambda b: F.col("delete").isNull() | ~F.arrays_overlap(b["around"], F.col("delete")))
