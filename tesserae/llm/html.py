@@ -1,11 +1,13 @@
 """Main text of web pages by site template removal.
 
-A page is parsed once: elements that are never article text (menus, forms, scripts and
-the like, by tag, class, id or role) are left out, every other element's subtree is
-hashed. Spark counts on how many differently titled pages of a host each subtree
-stands; those that recur on many are the site's template and are deleted. Copies of one
-article share its title, so they never make its text a template, and inside an explicit
-article prose is exempt.
+The subtrees of all elements that enclose text are hashed, menus and what stands beside an
+article included. Spark counts on how many distinct pages of a host each subtree stands;
+those that recur are the site's template and are deleted. Copies of one text count as one
+page, so they never make it a template, and inside an explicit article prose is exempt.
+
+Adverts and footers that change from page to page don't recur, and single pages have
+nothing to recur on. So fixed rules (menus, forms and the like, by tag, class, id or
+role; what stands outside of an explicit article) leave out text besides.
 """
 
 from __future__ import annotations
@@ -20,8 +22,8 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.common import BROADCAST_ROWS, materialise, narrowed
 
-#: A subtree is template if it stands under this many titles of its host, and this share of them.
-TITLES, SHARE = 5, 0.05
+#: A subtree is template if it stands on this many distinct pages of its host, however many the host has.
+PAGES = 5
 
 #: Kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -73,13 +75,13 @@ def _dropped(tag: str, attributes: str, in_root: bool) -> bool:
     return False
 
 
-def parse(page: str) -> tuple[str, list[tuple[str, list[int], bool]]]:
-    """(title, blocks) of a whole page; a block is (text, subtree hashes around it that may be template, in an article).
+def parse(page: str) -> list[tuple[str, list[int], bool]]:
+    """Blocks of a whole page: (text, subtree hashes around it that may be template, whether the rules leave it out).
 
     Tags may be unclosed or misnested, as in real pages. The work is linear in the page's
     length, but for the depth of the elements that enclose a block.
     """
-    title, blocks, buffer = "", [], []
+    blocks, buffer, lost = [], [], []
     stack: list[_Element] = []
     dropping = roots = 0
     tag_at, at, n = _TAG, 0, len(page)
@@ -89,25 +91,38 @@ def parse(page: str) -> tuple[str, list[tuple[str, list[int], bool]]]:
         if buffer:
             text = " ".join("".join(buffer).split())
             if text:
-                blocks.append((text, [e for e in stack if e.tag not in ("html", "body")], roots > 0))
+                blocks.append((text, [e for e in stack if e.tag not in ("html", "body")], roots > 0, False))
             buffer = []
+        flush_lost()
+
+    def flush_lost():
+        nonlocal lost
+        if lost:
+            text = " ".join("".join(lost).split())
+            if text:
+                first = next(i for i, e in enumerate(stack) if e.drop)
+                blocks.append((text, stack[first:], roots > 0, True))
+            lost = []
 
     def close():
         nonlocal dropping, roots
+        if stack[-1].drop:
+            flush_lost()
         e = stack.pop()
         dropping -= e.drop
         roots -= e.root
         e.hash = xxhash.xxh3_64_intdigest("\x00".join(e.parts)) >> 1
         if stack:
-            stack[-1].parts.append(str(e.hash))
+            # What is left out doesn't make the subtrees around it differ.
+            stack[-1].parts.append(e.tag if e.drop else str(e.hash))
 
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
             lt = n
-        if lt > at and not dropping:
+        if lt > at:
             text = entities.unescape(page[at:lt])
-            buffer.append(text)
+            (lost if dropping else buffer).append(text)
             if stack:
                 stack[-1].parts.append(" ".join(text.split()))
         at = lt
@@ -126,8 +141,7 @@ def parse(page: str) -> tuple[str, list[tuple[str, list[int], bool]]]:
             tag_at = _LAX  # a quote isn't closed: from here on quotes don't hide a >
             m = tag_at.match(page, at)
         if m is None:
-            if not dropping:
-                buffer.append("<")
+            (lost if dropping else buffer).append("<")
             at += 1
             continue
         at = m.end()
@@ -145,14 +159,10 @@ def parse(page: str) -> tuple[str, list[tuple[str, list[int], bool]]]:
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
-            inside = page[at : end.start() if end else n]
             at = n if end is None else (page.find(">", end.start()) + 1 or n)
-            if tag == "title" and not title:
-                title = " ".join(entities.unescape(inside).split())
             continue
         if tag == "br" or tag == "img":
-            if not dropping:
-                buffer.append(" ")
+            (lost if dropping else buffer).append(" ")
             continue
         if tag in BLOCK:
             flush()
@@ -177,50 +187,73 @@ def parse(page: str) -> tuple[str, list[tuple[str, list[int], bool]]]:
     flush()
     while stack:
         close()
-    return title, [(text, [e.hash for e in around if not (inside and (e.prose or e.root))], inside) for text, around, inside in blocks]
+    explicit = any(inside and not out for _, _, inside, out in blocks)
+    return [
+        (text, [e.hash for e in around if out or not (inside and (e.prose or e.root))], out or explicit and not inside)
+        for text, around, inside, out in blocks]
+
+
+def _key(host: str, subtree: int) -> int:
+    return xxhash.xxh3_64_intdigest(f"{host} {subtree}".encode("utf-8", "surrogatepass")) >> 1
+
 
+def _keyed(host: str, page: str) -> list[tuple[str, list[int], bool]]:
+    return [(text, [_key(host, h) for h in around], out) for text, around, out in parse(page)]
 
-def _parsed(batches):
+
+def _subtrees(batches):
+    """A row for every subtree of every page: (key, page, mark); page tells distinct texts apart."""
     for batch in batches:
-        titles, blocks = [], []
-        for value in batch.column(batch.num_columns - 1):
-            title, found = parse(value.as_py() or "")
-            if any(inside for _, _, inside in found):
-                found = [b for b in found if b[2]]
-            titles.append(xxhash.xxh3_64_intdigest((title or (found[0][0] if found else "")).encode("utf-8", "ignore")) >> 1)
-            blocks.append([{"text": t, "around": list(dict.fromkeys(h))} for t, h, _ in found])
-        kind = pa.list_(pa.struct([("text", pa.string()), ("around", pa.list_(pa.int64()))]))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(titles, pa.int64()), pa.array(blocks, kind)], names=["page_id", "url", "host", "mark", "title", "blocks"])
-
-
-def extract(pages: DataFrame, titles: int = TITLES, share: float = SHARE, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+        keys, pages, marks = [], [], []
+        for mark, host, value in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            blocks = _keyed(host, value or "")
+            own = list(dict.fromkeys(k for _, around, _ in blocks for k in around))
+            body = "\n".join(text for text, _, out in blocks if not out)
+            keys += own
+            pages += [xxhash.xxh3_64_intdigest(body.encode("utf-8", "surrogatepass")) >> 1] * len(own)
+            marks += [mark] * len(own)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (keys, pages, marks)], names=["key", "page", "mark"])
+
+
+def extract(pages: DataFrame, recur: int = PAGES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Main text of every page from its whole html: page_id, url, text, n_chars, n_blocks, n_template.
 
     Blocks are joined by one line feed, white space inside a block is one space. Null or
-    empty html gives ''. A null url is a host of its own. Repeated rows get equal results and
-    count once for a template; an empty table gives no rows. Other columns are ignored.
+    empty html gives ''. A null url is a host of its own. n_blocks counts the text's blocks,
+    n_template all that recurring subtrees hold, menus included. Repeated rows get equal
+    results and count once for a template; an empty table gives no rows. Other columns are
+    ignored.
     """
+    spark = pages.sparkSession
     rows = narrowed(pages, page_id=id_col, url=url_col, html=html_col)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://)?(?:[^/@?#]*@)?([^/?#]*)", 1))
-    rows = rows.select(F.col("page_id").cast("long"), F.col("url").cast("string"), host.alias("host"), F.xxhash64("url", "html").alias("mark"), F.col("html").cast("string"))
-    schema = "page_id long, url string, host string, mark long, title long, blocks array<struct<text:string,around:array<long>>>"
-    found = materialise(rows.mapInArrow(_parsed, schema), "pages")
-
-    # One row a host, subtree and title, however many copies a page has.
-    seen = found.select("host", "title", "mark", F.explode(F.array_distinct(F.flatten("blocks.around"))).alias("hash"))
-    each = seen.groupBy("host", "hash", "title").agg(F.count(F.lit(1)).alias("n"))
-    counted = each.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("under")).where(F.col("under") >= titles)
-    hosts = found.groupBy("host", "title").agg(F.count(F.lit(1)).alias("n")).groupBy("host").agg(F.count(F.lit(1)).alias("all"))
-    template = counted.join(hosts, "host").where(F.col("under") >= share * F.col("all")).select("host", "hash")
-    delete = seen.join(template, ["host", "hash"]).groupBy(F.col("mark").alias("m")).agg(F.collect_set("hash").alias("delete"))
-    delete = materialise(delete, "template")
-    # What few pages lose is broadcast, after it has been counted; with more the texts are shuffled.
-    if (delete.agg(F.sum(F.size("delete"))).first()[0] or 0) <= BROADCAST_ROWS:
-        delete = F.broadcast(delete)
-
-    out = found.join(delete, F.col("mark") == F.col("m"), "left")
-    stay = F.filter("blocks", lambda b: F.col("delete").isNull() | ~F.arrays_overlap(b["around"], F.col("delete")))
-    out = out.select("page_id", "url", stay.alias("stay"), F.size("blocks").alias("all"))
-    text = F.array_join(F.transform("stay", lambda b: b["text"]), "\n")
-    out = out.select("page_id", "url", text.alias("text"), F.size("stay").cast("long").alias("n_blocks"), (F.col("all") - F.size("stay")).cast("long").alias("n_template"))
-    return out.withColumn("n_chars", F.length("text").cast("long"))
+    rows = rows.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.xxhash64("url", "html").alias("mark"), host.alias("host"), F.col("html").cast("string"))
+
+    # Pages are parsed again for their text: cheaper than storing all blocks.
+    seen = rows.select("mark", "host", "html").mapInArrow(_subtrees, "key long, page long, mark long")
+    template = seen.groupBy("key", "page").agg(F.count(F.lit(1))).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    template = materialise(template.where(F.col("n") >= recur).select("key"), "template")
+    held = None
+    # Few templates are sent to all tasks, after they have been counted; with more the pages are shuffled.
+    if template.count() <= BROADCAST_ROWS:
+        held = spark.sparkContext.broadcast(frozenset(r.key for r in template.collect()))
+        rows = rows.withColumn("delete", F.lit(None).cast("array<long>"))
+    else:
+        delete = seen.select("mark", "key").join(template, "key").groupBy(F.col("mark").alias("m")).agg(F.collect_set("key").alias("delete"))
+        rows = rows.join(delete, F.col("mark") == F.col("m"), "left").drop("m")
+
+    def texts(batches):
+        for batch in batches:
+            out, stay, gone = [], [], []
+            for host, value, delete in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+                delete = held.value if held else frozenset(delete or ())
+                blocks = [(text, left_out, not delete.isdisjoint(around)) for text, around, left_out in _keyed(host, value or "")]
+                kept = [text for text, left_out, recurs in blocks if not left_out and not recurs]
+                out.append("\n".join(kept))
+                stay.append(len(kept))
+                gone.append(sum(recurs for _, _, recurs in blocks))
+            columns = [batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array(stay, pa.int64()), pa.array(gone, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_blocks", "n_template"])
+
+    found = rows.select("page_id", "url", "host", "html", "delete").mapInArrow(texts, "page_id long, url string, text string, n_blocks long, n_template long")
+    return found.withColumn("n_chars", F.length("text").cast("long"))

@@ -105,6 +105,14 @@ def test_html_template_and_copies(spark):
     assert out[300] == out[301] == "" and out[303] == "plain"
 
 
+def test_html_counts_menus(spark):
+    page = "<html><title>t{i}</title><body><nav><ul><li>Home</li><li>News</li></ul></nav><div>Beside</div><article><p>own {i}</p><div>Read this too</div><footer>changes {i}</footer></article></body></html>"
+    rows = [(i, f"http://h.example/{i}", page.format(i=i)) for i in range(8)] + [(100 + i, "http://few.example/", page.format(i=i)) for i in range(4)]
+    out = {r["page_id"]: r for r in collected(html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")))}
+    assert all(out[i]["text"] == f"own {i}" and out[i]["n_template"] == 4 for i in range(8))
+    assert out[102]["text"] == "own 2\nRead this too" and out[102]["n_template"] == 0
+
+
 def test_html_empty(spark):
     assert collected(html.extract(spark.createDataFrame([], "page_id long, url string, html string"))) == []
 
