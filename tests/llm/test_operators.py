@@ -113,6 +113,17 @@ def test_html_counts_menus(spark):
     assert out[102]["text"] == "own 2\nRead this too" and out[102]["n_template"] == 0
 
 
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_html_template_of_any_host(spark, monkeypatch, limit):
+    monkeypatch.setattr(html, "BROADCAST_ROWS", limit)
+    page = "<html><title>{t}</title><body><p>text {i}</p>{more}</body></html>"
+    rows = [(i, "http://large.example/", page.format(t=f"t{i}", i=i, more=f"<div>Section {i % 40}</div>")) for i in range(200)]
+    rows += [(1000 + i, "http://one.example/", page.format(t="The site", i=i, more="<div>Welcome</div>")) for i in range(8)]
+    rows += [(2000 + i, "http://copy.example/", page.format(t="a", i=0, more=f"<div class='ad'>Buy {i}</div>")) for i in range(8)]
+    out = {r["page_id"]: r["text"] for r in collected(html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")))}
+    assert all(out[i] == f"text {i}" for i in range(200)) and all(out[1000 + i] == f"text {i}" for i in range(8)) and out[2003] == "text 0"
+
+
 def test_html_empty(spark):
     assert collected(html.extract(spark.createDataFrame([], "page_id long, url string, html string"))) == []
 
