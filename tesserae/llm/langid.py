@@ -8,23 +8,25 @@ For each language l the evidence adds up in logarithms:
   it goes with texts of each language, from grouped counts with add-one smoothing;
 * the host's prior, shrunk to its domain's, which is shrunk to the whole corpus's.
 
-Counts come from one aggregated pass over the whole corpus; only the text model is fitted on
-a bounded sample of labelled rows.
+Counts come from aggregated passes over the whole corpus, the languages among them; only the
+text model is fitted on a bounded sample of labelled rows of each language.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import column_or_null, materialise, without
 
-#: Labelled rows that the text model is fitted on, at most.
+#: Labelled rows of each language that the text model is fitted on, at most.
 SAMPLE = 2000
-#: Languages at most, the commonest of the sample, and the rows that one needs there.
-LANGUAGES, LEAST_ROWS = 64, 3
+#: Different labelled texts that a language needs in the whole table.
+LEAST_ROWS = 3
 #: Hashed trigrams.
 BUCKETS = 1 << 15
 #: Trigrams that count as independent evidence.
@@ -53,37 +55,40 @@ def _lower(text) -> bytes:
 
 
 def fit(docs: DataFrame, text_col: str, label_col: str, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages and their log-probabilities of trigrams, from ``sample`` rows that carry a label.
+    """Languages and their log-probabilities of trigrams, from ``sample`` labelled rows of each.
 
-    The rows of smallest hash are taken: first the hash that bounds them, then the texts.
+    All labels of the table are counted. Of each the rows of smallest hash are taken: first
+    the hash that bounds them, then the texts.
     """
     rows = docs.select(docs[text_col].alias("text"), docs[label_col].cast("string").alias("label"))
     rows = rows.where("label is not null and length(text) > 0").withColumn("h", F.xxhash64("label", "text"))
-    edge = rows.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    if edge is None:
+    each = materialise(rows.select("label", "h").distinct(), "labels")
+    totals = each.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    found = {x.label: x.n for x in totals.collect()}
+    if not found:
         return [], np.zeros((BUCKETS, 0))
+    names = sorted(x for x in found if found[x] >= LEAST_ROWS) or sorted(found)
+    # Twice as many as needed by the hash's share of all hashes; of these the window takes the smallest.
+    near = F.col("h") / 2.0**64 + 0.5 <= 2 * sample / F.col("n")
+    least = each.join(F.broadcast(totals.where(F.col("label").isin(names)) if len(names) < len(found) else totals), "label").where((F.col("n") <= 2 * sample) | near)
+    least = least.withColumn("row", F.row_number().over(Window.partitionBy("label").orderBy("h"))).where(F.col("row") <= sample)
+    edges = least.groupBy("label").agg(F.max("h").alias("edge"))
 
     def count(batches):
-        held: dict[str, list] = {}
+        held: dict[str, np.ndarray] = {}
         for batch in batches:
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = held.setdefault(label, [0, np.zeros(BUCKETS, np.int64)])
-                own[0] += 1
-                own[1] += trigram_counts(_lower(text))
+                own = held.setdefault(label, np.zeros(BUCKETS, np.int64))
+                own += trigram_counts(_lower(text))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(list(held), pa.string()), pa.array([x[0] for x in held.values()], pa.int64()), pa.array([x[1].tobytes() for x in held.values()], pa.binary())],
-            names=["label", "n", "counts"])
-
-    chosen = rows.where(F.col("h") <= edge).dropDuplicates(["h"]).select("label", "text").repartition(4)
-    total: dict[str, list] = {}
-    # Four parts, each with one vector of fixed length a label.
-    for label, n, counts in chosen.mapInArrow(count, "label string, n long, counts binary").collect():
-        own = total.setdefault(label, [0, np.zeros(BUCKETS, np.int64)])
-        own[0] += n
-        own[1] = own[1] + np.frombuffer(counts, np.int64)
-    common = sorted((x for x in total if total[x][0] >= LEAST_ROWS), key=lambda x: (-total[x][0], x))[:LANGUAGES]
-    names = sorted(common or total)
-    table = np.stack([total[x][1] + 0.5 for x in names], axis=1)
+            [pa.array(list(held), pa.string()), pa.array([zlib.compress(x.tobytes(), 1) for x in held.values()], pa.binary())], names=["label", "counts"])
+
+    chosen = rows.join(F.broadcast(edges), "label").where(F.col("h") <= F.col("edge")).dropDuplicates(["label", "h"]).select("label", "text", (F.col("h") % 4).alias("part"))
+    table = np.full((BUCKETS, len(names)), 0.5)
+    at = {x: i for i, x in enumerate(names)}
+    # Up to seven parts of a label, each with one vector of fixed length.
+    for label, counts in chosen.repartition("label", "part").mapInArrow(count, "label string, counts binary").toLocalIterator():
+        table[:, at[label]] += np.frombuffer(zlib.decompress(counts), np.int64)
     return names, np.log(table / table.sum(axis=0))
 
 
@@ -115,7 +120,8 @@ def evidence(docs: DataFrame, id_col: str, text_col: str, declared_col: str | No
                 n = int(np.count_nonzero((b >= 97) & (b != 123) & (b != 124) & (b != 125) & (b != 126)))
                 counts = trigram_counts(data)
                 letters.append(n)
-                logs.append(counts @ w / max(1, int(counts.sum())) * min(n, EFFECTIVE))
+                some = np.flatnonzero(counts)
+                logs.append(counts[some] @ w[some] / max(1, int(counts.sum())) * min(n, EFFECTIVE))
             columns = batch.columns[:-1] + [pa.array(letters, pa.int64()), pa.array(logs, pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "letters", "loglik"])
 
@@ -159,9 +165,12 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
 
     host = rows.where("host is not null and best is not null").groupBy("domain", "host").agg(*counts)
     domain = host.groupBy(F.col("domain").alias("d")).agg(*[F.sum(f"c{i}").alias(f"d{i}") for i in each])
+    # Sums of all languages are columns of their own: repeated in each language's formula they'd grow with the square.
+    host = host.withColumn("c", sum(F.col(f"c{i}") for i in each))
+    domain = domain.withColumn("d_", sum(F.col(f"d{i}") for i in each))
     shrunk = lambda own, up, all_: (own + STRENGTH * up) / (all_ + STRENGTH)
-    up = [shrunk(F.col(f"d{i}"), F.lit(prior[i]), sum(F.col(f"d{j}") for j in each)) for i in each]
-    low = [F.log(shrunk(F.col(f"c{i}"), F.col(f"u{i}"), sum(F.col(f"c{j}") for j in each))) for i in each]
+    up = [shrunk(F.col(f"d{i}"), F.lit(prior[i]), F.col("d_")) for i in each]
+    low = [F.log(shrunk(F.col(f"c{i}"), F.col(f"u{i}"), F.col("c"))) for i in each]
     domain = domain.select("d", *[u.alias(f"u{i}") for i, u in enumerate(up)])
     host = host.join(domain, host["domain"] == domain["d"]).select(F.col("host").alias("_host"), F.array(*low).alias("host_log"))
 

@@ -190,6 +190,20 @@ def test_languages(spark):
     assert all(out[i]["lang"] == "und" and not out[i]["keep"] and out[i]["posterior"] == 0 for i in (200, 201, 202, 203))
 
 
+def test_rare_languages(spark):
+    vocab = {x: ["".join(np.random.default_rng(k).choice(list(s), 5)) for k in range(60)] for x, s in (("xx", "abcdefg"), ("yy", "mnopqrs"), ("zz", "tuvwxyz"))}
+    kinds = ["zz" if i < 4 else ("xx", "yy")[i % 2] for i in range(400)]
+    rows = [(i, " ".join(np.random.default_rng(i).choice(vocab[x], 40)), x) for i, x in enumerate(kinds)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    # So few rows that a sample of the whole table holds at most one of the rare language.
+    for sample in (3, 20):
+        out = {r["doc_id"]: r for r in collected(langid.identify(frame, sample=sample))}
+        assert all(out[i]["lang"] == x and out[i]["keep"] for i, x in enumerate(kinds))
+    many = [(i, f"{chr(0x4E00 + i // 4) * 40} {i}", f"l{i // 4:03}") for i in range(400)]
+    out = {r["doc_id"]: r["lang"] for r in collected(langid.identify(spark.createDataFrame(many, "doc_id long, text string, lang string")))}
+    assert all(out[i] == label for i, _, label in many)
+
+
 def test_language_edges(docs, empty):
     assert len(collected(langid.identify(docs, host_col="source"))) == len(documents())
     assert collected(langid.identify(empty, host_col="source")) == []
