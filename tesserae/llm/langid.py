@@ -14,6 +14,7 @@ text model is fitted on a bounded sample of labelled rows of each language.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -21,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import column_or_null, materialise, without
+from tesserae.llm.common import column_or_null, materialise, narrowed, without
+from tesserae.llm.html import parse
 
 #: Labelled rows of each language that the text model is fitted on, at most.
 SAMPLE = 2000
@@ -39,6 +41,12 @@ CONFIDENT, LETTERS = 0.5, 3
 CHUNK = 1 << 20
 
 
+_COMMENT = re.compile(r"<!--.*?-->", re.S)
+_ROOT = re.compile(r"<html(?:\s[^>]*)?>", re.I)
+_LANG = re.compile(r"\s(?:xml:)?lang\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+_META = re.compile(r"<meta\s+http-equiv\s*=\s*[\"']?content-language[\"']?\s+content\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+
+
 def trigram_counts(text: bytes) -> np.ndarray:
     """Counts of the hashed byte trigrams of a whole text."""
     out = np.zeros(BUCKETS, np.int64)
@@ -191,6 +199,40 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
         (known & (share >= CONFIDENT)).alias("keep"), "mark")
 
 
+def declared_language(page: str) -> str | None:
+    """The language that a page's markup declares: of its ``html`` element, or else of a ``meta`` element."""
+    page = _COMMENT.sub(" ", page)
+    root = _ROOT.search(page)
+    for pattern, inside in ((_LANG, root[0] if root else ""), (_META, page)):
+        m = pattern.search(inside)
+        value = next((x for x in m.groups() if x), "").split(",")[0].strip() if m else ""
+        if value:
+            return value.replace("_", "-")
+    return None
+
+
+def _marked_up(batches):
+    for batch in batches:
+        texts, declared = [], []
+        for value in batch.column(batch.num_columns - 1):
+            page = value.as_py() or ""
+            texts.append("\n".join(text for text, _, left_out in parse(page) if not left_out))
+            declared.append(declared_language(page))
+        columns = [*batch.columns[:-1], pa.array(declared, pa.string()), pa.array(texts, pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "declared", "text"])
+
+
+def identify_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sample: int = SAMPLE) -> DataFrame:
+    """``identify`` for raw web pages: page_id instead of doc_id, without mark.
+
+    The text and the declared language are read from the markup, suffix, domain and host
+    from the address. What ``identify`` says of null and empty texts holds for pages.
+    """
+    rows = narrowed(pages, page_id=id_col, url=url_col, html=html_col).select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
+    rows = materialise(rows.mapInArrow(_marked_up, "page_id long, url string, declared string, text string"), "marked-up")
+    return identify(rows, "page_id", "text", "declared", "url", sample=sample).withColumnRenamed("doc_id", "page_id").drop("mark")
+
+
 def kept(docs: DataFrame, **how) -> DataFrame:
     """The documents whose language is sure enough, all columns as they are."""
     id_col, text_col = how.get("id_col", "doc_id"), how.get("text_col", "text")

@@ -25,6 +25,10 @@ def op4_language(spark, sf_dir):
     return langid.identify(read(spark, sf_dir, "documents"), host_col="source").drop("mark")
 
 
+def op4_page_language(spark, sf_dir):
+    return langid.identify_pages(read(spark, sf_dir, "pages"))
+
+
 def op5_topk(spark, sf_dir):
     return topk.top_k(read(spark, sf_dir, "embeddings"))
 
@@ -65,7 +69,7 @@ def _shipped(query):
 
 
 def queries():
-    return {f.__name__: _shipped(f) for f in (op1_quality, op2_html, op3_pii, op4_language, op5_topk, op6_mixing, op7_closed_syncmers, op8_token_counts, op9_ngram_jaccard, op10_packing, pipeline)}
+    return {f.__name__: _shipped(f) for f in (op1_quality, op2_html, op3_pii, op4_language, op4_page_language, op5_topk, op6_mixing, op7_closed_syncmers, op8_token_counts, op9_ngram_jaccard, op10_packing, pipeline)}
 
 
 #: Same keys and the same order of arithmetic as the operator's.

@@ -204,6 +204,24 @@ def test_rare_languages(spark):
     assert all(out[i] == label for i, _, label in many)
 
 
+def test_page_languages(spark):
+    vocab = {x: ["".join(np.random.default_rng(k).choice(list(s), 5)) for k in range(60)] for x, s in (("xx", "abcdefg"), ("yy", "mnopqrs"))}
+    page = lambda x, t: f"<!-- <html lang='no'> --><html class=a lang={x}><body><nav>mmm nnn</nav><p>{t}</p></body></html>"
+    rows = [(i, f"http://w{i % 3}.site.{x}/p", page(f"'{x}'", " ".join(np.random.default_rng(i).choice(vocab[x], 40)))) for i in range(80) for x in [("xx", "yy")[i % 2]]]
+    # No evidence in the text: the address decides, for a host never seen too.
+    rows += [(200, "http://w1.site.xx/q", "<p>abc mno"), (201, "http://w1.site.yy/q", "<p>abc mno"), (202, "http://new.site.yy/", "<p>abc mno"), (300, None, None), (301, "", "")]
+    out = {r["page_id"]: r for r in collected(langid.identify_pages(spark.createDataFrame(rows, "page_id long, url string, html string")))}
+    assert all(out[i]["lang"] == ("xx", "yy")[i % 2] and out[i]["declared"] == out[i]["lang"] for i in range(80))
+    assert out[200]["lang"] == "xx" and out[201]["lang"] == out[202]["lang"] == "yy" and out[200]["declared"] is None
+    assert out[300]["lang"] == out[301]["lang"] == "und"
+
+
+@pytest.mark.parametrize("page, want", [
+    ('<HTML dir="ltr" LANG="en-GB">', "en-GB"), ("<html xml:lang=de>", "de"), ("<html data-lang='no'><body lang='no'>", None), ("<meta http-equiv='Content-Language' content='fr, en'>", "fr"), ("<html lang=''>", None), ("", None)])
+def test_declared_language(page, want):
+    assert langid.declared_language(page) == want
+
+
 def test_language_edges(docs, empty):
     assert len(collected(langid.identify(docs, host_col="source"))) == len(documents())
     assert collected(langid.identify(empty, host_col="source")) == []
