@@ -38,7 +38,7 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 def anchors(text: Column, k: int = K, s: int = S) -> Column:
     """Array of (pos, hash) of the closed syncmers of a text, in its order; pos counts symbols from 0.
 
-    A text of fewer than k symbols has no windows: its symbols themselves are its anchors.
+    A text without closed syncmers, as of fewer than k symbols, has its symbols themselves as its anchors.
     Null counts as empty. The work is linear in the text's length.
     """
     symbols = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SYMBOL), F.lit(0)), lambda x: F.xxhash64(x))
@@ -63,7 +63,8 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
 
     def whole(h: Column) -> Column:
         each = F.transform(h, lambda x, i: F.struct(i.alias("pos"), x.alias("hash")))
-        return F.when(F.size(h) < k, each).otherwise(windows(h))
+        some = lambda found: F.when(F.size(found) == 0, each).otherwise(found)
+        return F.when(F.size(h) < k, each).otherwise(_let(windows(h), some))
 
     return _let(symbols, whole)
 

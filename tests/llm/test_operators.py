@@ -333,6 +333,14 @@ def test_closed_syncmers(spark):
             assert [a.hash for a in r.a] == h
 
 
+def test_short_texts_keep_a_fingerprint(spark):
+    rows = [(i, prose(6 + i % 3, i)) for i in range(90)]
+    found = {r.id: r.a for r in spark.createDataFrame(rows, "id int, text string").select("id", syncmers.anchors(F.col("text")).alias("a")).collect()}
+    assert all(found.values()) and any(len(found[i]) == len(t.split()) for i, t in rows)
+    out = collected(syncmers.fingerprints(spark.createDataFrame([*rows, (90, "")], "doc_id long, text string")))
+    assert all(r["fingerprint"] for r in out if r["doc_id"] < 90) and all(r["near_next"] < 1 for r in out)
+
+
 def test_fingerprints(docs, empty):
     rows = documents()
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""), reverse=True)
