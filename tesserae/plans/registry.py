@@ -392,6 +392,25 @@ def _weighted(spark, d, how):
 # -- sorting, limits, batches: O1-O19
 
 
+def _placed(found: DataFrame, columns: str) -> DataFrame:
+    """``found`` with each row's place in its order; no row leaves the executors.
+
+    ``columns`` names and types those of ``found``. Spark sorts into ranges; a row's place is
+    that in its range and the sizes of the ranges before.
+    """
+    placed = found.rdd.zipWithIndex().map(lambda x: (x[1], *x[0]))
+    return found.sparkSession.createDataFrame(placed, f"position long, {columns}")
+
+
+def whole(name: str, request: dict, sql: str, catalog: Callable = orders) -> None:
+    """As ``ordered``, but all rows of a request without a limit."""
+
+    def run(spark, d):
+        return _placed(catalog(spark, d).search(request).df.select(F.col("data_record_id_").alias("rid")), "rid long")
+
+    query(f"SELECT (row_number() OVER () - 1)::BIGINT AS position, rid FROM ({sql})", name)(run)
+
+
 def ordered(name: str, request: dict, sql: str, catalog: Callable = orders) -> None:
     """The order counts: ``position`` is each row's place."""
 
@@ -407,6 +426,8 @@ ANY = {"o_totalprice": {"query": 0.5, "range": "min"}}
 _O = "SELECT o_orderkey AS rid FROM orders WHERE o_totalprice >= 0.5 "
 ordered("sort_one", {**ANY, "sort_on": "o_totalprice"}, _O + "ORDER BY o_totalprice, o_orderkey")
 ordered("sort_reverse", {**ANY, "sort_on": "o_totalprice", "sort_order": "Descending"}, _O + "ORDER BY o_totalprice DESC, o_orderkey DESC")
+whole("sort_one_whole", {**ANY, "sort_on": "o_totalprice"}, _O + "ORDER BY o_totalprice, o_orderkey")
+whole("sort_reverse_whole", {**ANY, "sort_on": "o_totalprice", "sort_order": "Descending"}, _O + "ORDER BY o_totalprice DESC, o_orderkey DESC")
 ordered("sort_two_mixed", {**ANY, "sort_on": ("o_orderpriority", "o_totalprice"), "sort_order": ("", "reverse"), "b_start": 20, "b_size": 10}, _O + "ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey DESC LIMIT 10 OFFSET 20")
 ordered("sort_minimum_slice", {"o_orderstatus": ["F", "O"], "o_totalprice": {"query": (1e5, 2e5), "range": "min:max"}, "sort_on": ("o_orderpriority", "o_totalprice"), "sort_order": ("", "reverse"), "b_start": 20, "b_size": 10}, "SELECT o_orderkey AS rid FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_totalprice BETWEEN 1e5 AND 2e5 ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey DESC LIMIT 10 OFFSET 20")
 ordered("sort_two_reverse", {**ANY, "sort_on": ("o_orderpriority", "o_custkey"), "sort_order": "reverse", "sort_limit": 40}, _O + "ORDER BY o_orderpriority DESC, o_custkey DESC, o_orderkey DESC LIMIT 40")
@@ -482,6 +503,12 @@ def merge_sorted(spark, d):
     return spark.createDataFrame([(i, r.data_record_id_, r.name) for i, r in enumerate(out)], "position int, rid long, name string")
 
 
+@query(f"SELECT (row_number() OVER () - 1)::BIGINT AS position, rid, name FROM (SELECT * FROM ({_ROWS}) ORDER BY bal DESC, rid DESC)")
+def merge_sorted_whole(spark, d):
+    out = merging.merged(_both(spark, d, sort_on="balance"), True, reverse=True)
+    return _placed(out.select(F.col("data_record_id_").alias("rid"), "name"), "rid long, name string")
+
+
 @query(text_sql(["w = 'onnt'"], "t0", "t0 IS NOT NULL", last="SELECT rid, score, 1::BIGINT AS norm FROM r") + " UNION ALL " + "SELECT * FROM (" + text_sql(["w = 'onnt'"], "t0", "t0 IS NOT NULL", last="SELECT rid, score, 1::BIGINT AS norm FROM r", words=_HTML, table="pages", rid="page_id", text="html") + ")")
 def merge_scored(spark, d):
     parts_ = [documents(spark, d).search({"text": "onnt"}, merge=False), pages(spark, d).search({"html": "onnt"}, merge=False)]

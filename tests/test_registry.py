@@ -37,3 +37,14 @@ def test_entry(spark):
 
 def test_every_sql_belongs_to_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test data")
+@pytest.mark.parametrize("name, least", [("sort_one_whole", 501), ("sort_reverse_whole", 501), ("merge_sorted_whole", 41)])
+def test_whole_sorts_against_sql(spark, name, least):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"create view {t} as select * from '{DIR}/{t}.parquet'")
+    df = entry.queries()[name](spark, DIR)
+    want = con.sql(entry.oracle_sql()[name]).fetchall()
+    assert len(want) >= least and sorted(map(tuple, df.collect())) == sorted(want)
