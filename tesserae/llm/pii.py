@@ -41,6 +41,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
+#: An identifier written in groups of digits, such as 0171 234 5678.
+_GROUPS = re.compile(r"(?<!\S)\(?[0-9]++(?:(?:[ /.-]|\) ?| \(|\)[/-])[0-9]++)*+(?=[\"'`)\]}>,;:!?.]*+(?:\s|\Z))")
 _EDGES = "\"'`()[]{}<>,;:!?.=#$%&*"
 
 SPAN = "struct<start:int,kind:int,end:int>"
@@ -103,7 +105,9 @@ def _pattern(text: str, start: int) -> str | None:
 
 
 def _instances(text: str, base: list[tuple[int, int, int]]):
-    """Tokens with digits outside of base spans."""
+    """Tokens with digits and runs of digit groups, outside of base spans."""
+    runs = [m.span() for m in _GROUPS.finditer(text) if " " in m[0]]
+    run = 0
     taken, i, last = sorted((a, b) for a, _, b in base), 0, -1
     for m in _DIGIT.finditer(text):
         at = m.start()
@@ -114,14 +118,19 @@ def _instances(text: str, base: list[tuple[int, int, int]]):
             start -= 1
         while end < len(text) and end - at <= TOKEN[1] and not text[end].isspace():
             end += 1
+        while run < len(runs) and runs[run][1] <= at:
+            run += 1
+        grouped = run < len(runs) and runs[run][0] <= at
+        if grouped:
+            start, end = runs[run]
         last = end
-        while start < end and text[start] in _EDGES:
+        while start < end and text[start] in _EDGES and not grouped:
             start += 1
         while end > start and text[end - 1] in _EDGES:
             end -= 1
         while i < len(taken) and taken[i][1] <= start:
             i += 1
-        if i < len(taken) and taken[i][0] < end or not TOKEN[0] <= end - start <= TOKEN[1]:
+        if i < len(taken) and taken[i][0] < end or not (grouped or TOKEN[0] <= end - start <= TOKEN[1]):
             continue
         if len(_DIGIT.findall(text, start, end)) >= DIGITS:
             yield start, end

@@ -166,6 +166,16 @@ def test_bootstrap_finds_unseen_identifiers(spark):
     assert out[100]["n_added"] == 1 and out[100]["spans"].startswith("id:") and out[101]["n_added"] == 0 and out[3]["n_email"] == 1
 
 
+def test_bootstrap_finds_digit_groups(spark):
+    rows = [(i, f"{prose(5, i)} my phone +49 30 {1234567 + i} {prose(4, i)}") for i in range(20)]
+    texts = ["my phone 0171 234 5678", "my phone (0171) 234-5678, call", "other words 0171 234 9999"]
+    rows += [(100 + i, f"{prose(4, 1)} {t} {prose(3, 2)}") for i, t in enumerate(texts)]
+    out = {r["doc_id"]: r for r in collected(pii.report(spark.createDataFrame(rows, "doc_id long, text string")))}
+    found = [[rows[20 + i][1][int(a) : int(b)] for _, a, b in (x.split(":") for x in out[100 + i]["spans"].split(",") if x)] for i in range(3)]
+    assert found[0] == ["0171 234 5678"] and found[1] == ["(0171) 234-5678"] and found[2] == []
+    assert list(pii._instances("1 2 " * 50_000, [])) == [(0, 199_999)]
+
+
 def test_pii_edges(docs, empty):
     out = collected(pii.report(docs))
     assert len(out) == len(documents()) and all(r["base_sha256"] == hashlib.sha256(b"").hexdigest() for r in out if not r["spans"])
