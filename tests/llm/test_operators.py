@@ -540,3 +540,40 @@ def test_tokens_are_the_tokenizers_own():
     texts = ["Don't STOP, it's 1,234.5!", "ÉCOLE É\tÜber ß İ Σας", "a\x1cb\x85c\xa0d e", "<|endoftext|> x<|startoftext|>y <|EndOfText|>", "漢字かな 한국어 ไทย", "x" * 300, "😀👍🏽 ﬁ №", "\x00 \x0b\x0c", "...!?,, '' \"q\" a'sb", "é, ñandú. straße! œuf e\u0301 àéîõüÿ? ø÷x ¿qué? l'été"]
     for x in [*texts, " ".join(texts), prose(500, 1)]:
         assert np.frombuffer(own.ids(x.encode()), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, x
+
+
+@pytest.mark.parametrize("num, den", [(4, 5), (9, 10), (1, 2)])
+def test_schemes_bound_every_link(num, den):
+    r = np.random.default_rng(num)
+    schemes = jaccard.Schemes(num, den)
+    for _ in range(400):
+        n = int(r.integers(1, 400))
+        a = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
+        b = a
+        # Change as much as a link allows.
+        for _ in range(int(r.integers(0, n + 1))):
+            c = np.unique(np.append(np.delete(b, r.integers(0, len(b), int(r.integers(0, 2)))), r.integers(0, 2**63, int(r.integers(0, 2))).astype(np.uint64)))
+            if len(c) == 0 or den * len(np.intersect1d(a, c)) < num * len(np.union1d(a, c)):
+                break
+            b = c
+        assert np.intersect1d(schemes.keys(a), schemes.keys(b)).size
+
+
+def test_hot_keys_go_out_once_a_batch():
+    import pyarrow as pa
+
+    words = prose(60, 1).split()
+    texts = [" ".join([*words, f"w{i}"]).encode() for i in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40), pa.int64()), pa.array(range(40), pa.int64()), pa.array(texts, pa.binary())], names=["doc_id", "mark", "text"])
+    rows = [r for out in jaccard._documents(5, jaccard.Schemes(4, 5))([batch]) for r in out.to_pylist()]
+    plain = Counter(k for r in rows for k in r["keys"])
+    hot = Counter(h["key"] for r in rows for h in r["hot"])
+    assert hot and max(hot.values()) == 40 and all(plain[k] == 1 for k in hot) and max(plain.values()) < jaccard.HOT
+
+
+def test_rest_gives_links_that_span():
+    same = np.zeros(4, np.uint64).tobytes()
+    held = [(i, i, 0, 10, same) for i in range(50)]
+    assert len(jaccard._links_within(held, set(), 4, 5, None)) == 49
+    refuted = {(i, j) for i in range(50) for j in range(i + 1, 50) if (i, j) != (20, 30)}
+    assert jaccard._links_within(held, refuted, 4, 5, None) == [(20, 30)] == jaccard._links_within(held, refuted, 4, 5, 4)
