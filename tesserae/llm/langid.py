@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import column_or_null, materialise, narrowed, without
+from tesserae.llm.common import column_or_null, fresh, materialise, narrowed, without
 from tesserae.llm.html import parse
 
 #: Labelled rows of each language that the text model is fitted on, at most.
@@ -236,6 +236,7 @@ def identify_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 def kept(docs: DataFrame, **how) -> DataFrame:
     """The documents whose language is sure enough, all columns as they are."""
     id_col, text_col = how.get("id_col", "doc_id"), how.get("text_col", "text")
-    gone = identify(docs, **how).where(~F.col("keep")).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()
+    gone_id, gone_mark = fresh(docs, "gone", "mark")
+    gone = identify(docs, **how).where(~F.col("keep")).select(F.col("doc_id").alias(gone_id), F.col("mark").alias(gone_mark)).distinct()
     gone = materialise(gone, "rejected")
-    return without(docs, gone, docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__mark")))
+    return without(docs, gone, docs[id_col].cast("long").eqNullSafe(F.col(gone_id)) & (F.xxhash64(docs[text_col]) == F.col(gone_mark)))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.llm.common import BROADCAST_ROWS, materialise, narrowed
+from tesserae.llm.common import BROADCAST_ROWS, fresh, materialise, narrowed
 
 #: In the order in which spans of one start are listed; the last is what the method adds.
 KINDS = ("email", "ip", "card", "phone", "id")
@@ -230,10 +230,11 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     Overlapping spans make one, of the first's kind. All other columns and all rows stay.
     """
-    added = detect(docs, id_col, text_col).where(F.size("added") > 0).select(F.col("mark").alias("__mark"), F.col("added").alias("__added")).dropDuplicates(["__mark"])
+    key, mark, more_col = fresh(docs, "key", "mark", "added")
+    added = detect(docs, id_col, text_col).where(F.size("added") > 0).select(F.col("mark").alias(mark), F.col("added").alias(more_col)).dropDuplicates([mark])
     added = materialise(added, "pii-added")
     # Few spans are broadcast, after they have been counted; with more the texts are shuffled.
-    if (added.agg(F.sum(F.size("__added"))).first()[0] or 0) <= BROADCAST_ROWS:
+    if (added.agg(F.sum(F.size(more_col))).first()[0] or 0) <= BROADCAST_ROWS:
         added = F.broadcast(added)
     names = docs.columns
     at = names.index(text_col)
@@ -241,7 +242,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     def marked(batches):
         for batch in batches:
             marks = [xxhash.xxh3_64_intdigest((x.as_py() or "").encode("utf-8", "surrogatepass")) >> 1 for x in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.int64())], names=[*batch.schema.names, "__key"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.int64())], names=[*batch.schema.names, key])
 
     def masked(batches):
         for batch in batches:
@@ -259,6 +260,6 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             columns = [*batch.columns[:at], pa.array(texts, batch.column(at).type), *batch.columns[at + 1 : len(names)]]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    keyed = docs.mapInArrow(marked, T.StructType([*docs.schema.fields, T.StructField("__key", T.LongType())]))
-    keyed = keyed.join(added, F.col("__key") == F.col("__mark"), "left").select(*names, "__added")
+    keyed = docs.mapInArrow(marked, T.StructType([*docs.schema.fields, T.StructField(key, T.LongType())]))
+    keyed = keyed.join(added, F.col(key) == F.col(mark), "left").select(*[F.col(f"`{c}`") for c in names], more_col)
     return keyed.mapInArrow(masked, docs.schema)

@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import narrowed
+from tesserae.llm.common import fresh, narrowed
 
 #: Symbols in a window and in its inner substrings.
 K, S = 6, 2
@@ -121,12 +121,13 @@ def _with_bucket(rows: DataFrame) -> DataFrame:
     exact = F.split(F.lit(",".join(map(str, [*cuts, high + 1]))), ",").cast("array<bigint>")
     known = F.coalesce("id", F.lit(low))
     upto = lambda array: F.size(F.filter(array, lambda c: c <= known))
-    rows = rows.withColumn("__r", (upto(rough) - 1) * step)
-    rows = rows.withColumn("__c", F.col("__r") + upto(F.slice(exact, F.col("__r") + 1, F.lit(step))) - 1)
-    start, end = F.get(exact, F.col("__c")), F.get(exact, F.col("__c") + 1)
+    rough_at, cut_at = fresh(rows, "rough", "cut")
+    rows = rows.withColumn(rough_at, (upto(rough) - 1) * step)
+    rows = rows.withColumn(cut_at, F.col(rough_at) + upto(F.slice(exact, F.col(rough_at) + 1, F.lit(step))) - 1)
+    start, end = F.get(exact, F.col(cut_at)), F.get(exact, F.col(cut_at) + 1)
     within = F.least(F.lit(finer - 1), F.floor((known - start) * finer / (end - start)))
-    bucket = F.when(F.col("id").isNull(), -1).otherwise(F.col("__c").cast("long") * finer + within)
-    return rows.withColumn("bucket", bucket.cast("long")).drop("__r", "__c")
+    bucket = F.when(F.col("id").isNull(), -1).otherwise(F.col(cut_at).cast("long") * finer + within)
+    return rows.withColumn("bucket", bucket.cast("long")).drop(rough_at, cut_at)
 
 
 def with_next(rows: DataFrame, extra: dict[str, Callable[[Column], Column]]) -> DataFrame:

@@ -183,11 +183,25 @@ def test_pii_edges(docs, empty):
 
 
 def test_redaction(spark):
-    rows = spark.createDataFrame([(1, "a x@y.zz b 1.2.3.4", "k"), (2, None, "k"), (1, "clean", None)], "doc_id long, text string, __key string")
-    rows = rows.withColumnRenamed("__key", "mark")
+    rows = spark.createDataFrame([(1, "a x@y.zz b 1.2.3.4", "k"), (2, None, "k"), (1, "clean", None)], "doc_id long, text string, mark string")
     assert sorted((r["doc_id"], str(r["text"]), str(r["mark"])) for r in collected(pii.redact(rows))) == [(1, "a [EMAIL] b [IP]", "k"), (1, "clean", "None"), (2, "None", "k")]
 
 
+#: Names that operators have used for columns of their own.
+CLASHES = "__key __mark __added __id __gone __again key mark added gone again Key node keys hot sketch rough cut __r __c n block other kind component".split()
+
+
+def test_clashing_names(spark, docs):
+    rows = spark.createDataFrame([(1, "a x@y.zz b 1.2.3.4", "en"), (2, None, "en"), (3, prose(40, 1), "en"), (4, prose(40, 1), "en"), (4, prose(40, 2), "en"), (4, prose(40, 2), "en")], "doc_id long, text string, lang string")
+    rows = rows.withColumns({c: F.lit("x") for c in CLASHES if c != "Key"}).withColumn("source", F.lit("s"))
+    assert pii.redact(rows).columns == rows.columns and pii.redact(rows).count() == 6 and pii.redact(rows.limit(0)).count() == 0
+    kept = langid.kept(rows, host_col="source")
+    assert kept.columns == rows.columns and kept.where("doc_id = 2").count() == 0
+    stay = jaccard.without_copies(rows)
+    assert stay.columns == rows.columns and sorted(r.doc_id for r in stay.select("doc_id").collect()) == [1, 2, 3, 4, 4]
+    assert mixing.mixed_documents(rows).columns == rows.columns
+
+
 # -- 4 language
 
 
