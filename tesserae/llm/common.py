@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import io
 import re
+import sys
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,9 +37,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
     """Give the Python workers this package, where it isn't installed; once a context."""
     sc = spark.sparkContext
+    # Long texts are many bytes a row; where the session says nothing, fewer rows go to a worker at a time.
+    if int(spark.conf.get(BATCH)) == 10_000:
+        spark.conf.set(BATCH, 2000)
     if getattr(sc, "_tesserae_shipped", False):
         return
     top, held = Path(__file__).resolve().parents[2], io.BytesIO()
@@ -47,6 +58,32 @@ def ship(spark: SparkSession) -> None:
     sc._tesserae_shipped = True
 
 
+#: What a Python worker holds beyond a task, by operator, as functions that drop it.
+_HELD: dict[str, Callable[[], None]] = {}
+_owner: str | None = None
+
+
+def holds(owner: str, drop: Callable[[], None]) -> None:
+    _HELD[owner] = drop
+
+
+def claim(owner: str) -> None:
+    """To be called by a task: what other operators left in this worker, which Spark reuses, goes."""
+    global _owner
+    if _owner == owner:
+        return
+    _owner = owner
+    for other, drop in _HELD.items():
+        if other != owner:
+            drop()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    # Freed memory goes back to the system where the C library can do that.
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+    if trim:
+        trim(0)
+
+
 def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/tesserae-llm/{tag}-{uuid.uuid4().hex}"
 

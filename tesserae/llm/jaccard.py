@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import fresh, materialise, narrowed, without
+from tesserae.llm.common import claim, fresh, holds, materialise, narrowed, without
 from tesserae.llm.graph import components
 
 #: Members of a bucket that are compared in one task at a time.
@@ -72,6 +72,7 @@ class _Hashes(dict):
 
 
 _hashes = _Hashes()
+holds("jaccard", _hashes.clear)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -214,6 +215,7 @@ def _documents(width: int, schemes: Schemes):
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "n", "node", "sketch", "keys", "hot"])
 
     def run(batches):
+        claim("jaccard")
         seen: set[int] = set()
         rows, held, none = [], 0, np.zeros(0, U)
         for batch in batches:
@@ -335,6 +337,7 @@ def _inside(num: int, den: int, each: int | None):
     """Sorted rows of GROUP -> candidate links (key, block, other, a, b). Rows of kind 0 are refuted pairs (node, component)."""
 
     def run(batches):
+        claim("jaccard")
         now, held, refuted = None, [], set()
         for batch in batches:
             found = []
@@ -393,6 +396,7 @@ def _wanted(width: int, held):
     """(mark, text) -> (node, n, elements) of the texts in the filter; others aren't read."""
 
     def run(batches):
+        claim("jaccard")
         bits = held.value
         for batch in batches:
             at = batch.column(0).to_numpy(zero_copy_only=False) & (len(bits) * 8 - 1)

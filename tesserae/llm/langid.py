@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import column_or_null, fresh, materialise, narrowed, without
+from tesserae.llm.common import claim, column_or_null, fresh, materialise, narrowed, without
 from tesserae.llm.html import parse
 
 #: Labelled rows of each language that the text model is fitted on, at most.
@@ -119,6 +119,7 @@ def evidence(docs: DataFrame, id_col: str, text_col: str, declared_col: str | No
         F.when(several, F.concat_ws(".", F.slice(labels, -2, 2))).otherwise(host).alias("domain"), host.alias("host"), docs[text_col].alias("text"))
 
     def score(batches):
+        claim("langid")
         w = held.value
         for batch in batches:
             letters, logs = [], []

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.llm.common import BROADCAST_ROWS, fresh, materialise, narrowed
+from tesserae.llm.common import BROADCAST_ROWS, claim, fresh, materialise, narrowed
 
 #: In the order in which spans of one start are listed; the last is what the method adds.
 KINDS = ("email", "ip", "card", "phone", "id")
@@ -141,6 +141,7 @@ def joined(spans) -> str:
 
 
 def _found(batches):
+    claim("pii")
     for batch in batches:
         marks, base, seen = [], [], []
         for value in batch.column(1):
@@ -240,11 +241,13 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     at = names.index(text_col)
 
     def marked(batches):
+        claim("pii")
         for batch in batches:
             marks = [xxhash.xxh3_64_intdigest((x.as_py() or "").encode("utf-8", "surrogatepass")) >> 1 for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.int64())], names=[*batch.schema.names, key])
 
     def masked(batches):
+        claim("pii")
         for batch in batches:
             texts = []
             for value, more in zip(batch.column(at), batch.column(len(names)).to_pylist(), strict=True):

@@ -13,6 +13,8 @@ import os
 import re
 import string
 
+from tesserae.llm.common import claim, holds
+
 #: A worker forgets its words beyond this many, so memory stays bounded.
 MAX_WORDS = 600_000
 _SIGNS = string.punctuation.encode()
@@ -93,10 +95,12 @@ class WordTokenizer:
 
 
 _held: dict[tuple[str, bool], WordTokenizer] = {}
+holds("tokens", _held.clear)
 
 
 def word_tokenizer(path: str, special_as_text: bool = False) -> WordTokenizer:
     """One table of words per worker process and tokenizer."""
+    claim("tokens")
     key = (path, special_as_text)
     if key not in _held:
         _held[key] = WordTokenizer(path, special_as_text)
