@@ -14,7 +14,7 @@ ways. Neither can differ in more places than the sets do:
   z + 1 of them at least. Segments without bits make no keys, or they would gather unrelated
   sets; z is chosen so that few sets have more than z of those. Sets that do are cut up
   again by other positions, so two of them meet there;
-* folded to four bits or more an element, to tell unrelated sets apart.
+* folded to two bits or more an element, to tell unrelated sets apart.
 
 Sets that agree in a segment meet in its bucket.
 
@@ -22,9 +22,11 @@ Sets that agree in a segment meet in its bucket.
   near enough are verified on the sets; components follow. A key that many sets of one
   batch share goes to its bucket once for the batch, so a hot key is small before the shuffle.
 * Rest: buckets whose members are still in several components are compared by folded sketch
-  inside the task, blocks of ``BLOCK`` members at a time. A task gives links that span what
-  it holds, one fewer than its members at most. Where verification refutes some, the task's
-  group is compared again without them, until nothing is left.
+  inside the task, blocks of ``BLOCK`` members at a time; of buckets with the same members one
+  is. A task gives links that span what it holds, one fewer than its members at most.
+* Doubt: where verification refutes such a link, others may have been left out for it, but
+  only between components that refuted links join. The nodes of these, each once, are compared
+  in the same way, refuted pairs left out, until nothing is left.
 
 Nothing is left out: no cap on buckets, partners or candidates. Equal sets are one node,
 so copies are never expanded into pairs. Sets are shipped for verification only.
@@ -51,7 +53,7 @@ FILTER_EACH, FILTER_BITS = 16, 1 << 28
 #: Bits of the filter that one row holds.
 FILTER_ROW = 1 << 17
 #: Bits of a folded sketch: at least, at most, and for an element.
-SKETCH_BITS, SKETCH_EACH = (256, 1 << 20), 4
+SKETCH_BITS, SKETCH_EACH = (256, 1 << 20), 2
 #: Growth of the size bands; divisions into segments that are tried before empty ones count.
 GROWTH, LEVELS = 1.5, 8
 #: Keys that a task gathers before it writes them, and how many sets of these make one hot.
@@ -235,6 +237,7 @@ def _documents(width: int, schemes: Schemes):
                     rows, held = [], 0
         if rows:
             yield written(rows)
+        _hashes.clear()
 
     return run
 
@@ -449,12 +452,15 @@ class _Sets:
 def _dealt(buckets: DataFrame, label: DataFrame) -> DataFrame:
     """(key, block, other, side, node) of the buckets with members in several components.
 
-    Of a bucket beyond ``BLOCK`` members, its largest component's members aren't compared with
+    ``buckets`` has distinct (key, node). Of buckets with the same members one stays. Of a
+    bucket beyond ``BLOCK`` members, its largest component's members aren't compared with
     each other: blocks of the others meet all blocks, its own meet those only.
     """
     each = buckets.join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    sizes = each.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("components"), F.sum("n").alias("members"), F.max(F.struct("n", "component")).alias("largest")).where("components > 1")
+    sizes = each.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("same"))
+    mixed = sizes.groupBy("key").agg(
+        F.count(F.lit(1)).alias("components"), F.sum("n").alias("members"), F.bit_xor("same").alias("same"), F.max(F.struct("n", "component")).alias("largest")).where("components > 1")
+    mixed = mixed.groupBy("same", "members").agg(F.min("key").alias("key"), F.first("largest").alias("largest"))
     large = F.col("members") > BLOCK
     rest = F.when(large, F.col("members") - F.col("largest.n")).otherwise(F.col("members"))
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
@@ -469,6 +475,35 @@ def _dealt(buckets: DataFrame, label: DataFrame) -> DataFrame:
     return rows.select("key", F.least("block", "other").alias("block"), F.greatest("block", "other").alias("other"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node")
 
 
+def _compared(dealt: DataFrame, label: DataFrame, sketches: DataFrame, num: int, den: int, each: int | None, refuted: DataFrame | None = None) -> DataFrame:
+    """Candidate links (key, block, other, a, b) of dealt groups; with ``refuted``, of the groups that hold some."""
+    group = dealt if refuted is None else dealt.join(refuted.select("key", "block", "other").distinct(), ["key", "block", "other"], "left_semi")
+    group = group.join(label, "node", "left").join(sketches, "node")
+    group = group.select("key", "block", "other", F.lit(1).alias("kind"), "node", F.coalesce("component", "node").alias("component"), "side", "n", "sketch")
+    if refuted is not None:
+        known = refuted.select("key", "block", "other", F.lit(0).alias("kind"), F.col("a").alias("node"), F.col("b").alias("component"))
+        group = group.unionByName(known, allowMissingColumns=True)
+    group = group.repartition("key", "block", "other").sortWithinPartitions("key", "block", "other", "kind")
+    return materialise(group.mapInArrow(_inside(num, den, each), "key long, block int, other int, a long, b long"), "candidates")
+
+
+def _joined(label: DataFrame, more: DataFrame) -> DataFrame:
+    """Components of what ``label`` joins already and more links (a, b)."""
+    return components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "components")
+
+
+def _in_doubt(label: DataFrame, refuted: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(key, node): the nodes of components that refuted links (a, b) join; key is the smallest of these components."""
+    of = label.select(F.col("node").alias("x"), F.col("component").alias("c"))
+    ends = refuted.select("a", "b").distinct()
+    for end in ("a", "b"):
+        ends = ends.join(of, F.col(end) == F.col("x"), "left").withColumn(end, F.coalesce("c", end)).drop("x", "c")
+    joined = components(ends, "doubt").select(F.col("node").alias("of"), F.col("component").alias("key"))
+    joined = joined.unionByName(joined.select(F.col("key").alias("of"), "key").distinct())
+    nodes = sketches.select("node").join(label, "node", "left").select("node", F.coalesce("component", "node").alias("of"))
+    return nodes.join(joined, "of").select("key", "node")
+
+
 def link(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of num / den or more.
 
@@ -496,27 +531,25 @@ def link(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, id_col: st
     near = materialise(star.mapInArrow(_near(num, den), "a long, b long"), "near")
     label = components(sets.verified(near).where("linked").select("a", "b"), "star-components")
 
-    dealt = materialise(_dealt(buckets.select("key", "node").distinct(), label), "dealt")
-    refuted, each = None, None
-    while True:
-        group = dealt.join(label, "node", "left").join(sketches, "node")
-        group = group.select("key", "block", "other", F.lit(1).alias("kind"), "node", F.coalesce("component", "node").alias("component"), "side", "n", "sketch")
-        if refuted is not None:
-            again = refuted.select("key", "block", "other").distinct()
-            group = group.join(again, ["key", "block", "other"], "left_semi").unionByName(
-                refuted.select("key", "block", "other", F.lit(0).alias("kind"), F.col("a").alias("node"), F.col("b").alias("component")), allowMissingColumns=True)
-        group = group.repartition("key", "block", "other").sortWithinPartitions("key", "block", "other", "kind")
-        candidates = materialise(group.mapInArrow(_inside(num, den, each), "key long, block int, other int, a long, b long"), "candidates")
+    def compared(dealt, label, each=None, refuted=None):
+        """(label, refuted links; None if there were no candidates) after one comparison of dealt groups."""
+        candidates = _compared(dealt, label, sketches, num, den, each, refuted)
         if candidates.isEmpty():
-            break
+            return label, None
         judged = sets.verified(candidates)
-        more = judged.where("linked").select("a", "b")
-        label = components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "components")
-        wrong = candidates.join(judged.where("not linked"), ["a", "b"], "left_semi")
-        refuted = materialise(wrong if refuted is None else refuted.unionByName(wrong.select(refuted.columns)), "refuted")
-        each = 1 if each is None else 4 * each
-        if refuted.isEmpty():
-            break
+        wrong = materialise(candidates.join(judged.where("not linked").select("a", "b"), ["a", "b"], "left_semi").select(candidates.columns), "refuted")
+        return _joined(label, judged.where("linked").select("a", "b")), wrong
+
+    label, wrong = compared(_dealt(buckets.select("key", "node").distinct(), label), label)
+    if wrong is not None and not wrong.isEmpty():
+        doubt = materialise(_dealt(_in_doubt(label, wrong, sketches), label), "doubt")
+        label, refuted = compared(doubt, label)
+        each = 4
+        # Groups without refuted links are done; the others end when no candidate is left.
+        while wrong is not None and refuted is not None and not refuted.isEmpty():
+            label, wrong = compared(doubt, label, each, refuted)
+            if wrong is not None:
+                refuted, each = materialise(refuted.unionByName(wrong), "refuted"), 8 * each
 
     own = found.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("low"))
     own = own.join(label, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))

@@ -16,7 +16,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tesserae.llm.common import BROADCAST_ROWS, claim, fresh, materialise, narrowed
 
@@ -143,10 +142,9 @@ def joined(spans) -> str:
 def _found(batches):
     claim("pii")
     for batch in batches:
-        marks, base, seen = [], [], []
-        for value in batch.column(1):
+        base, seen = [], []
+        for value in batch.column(2):
             text = value.as_py() or ""
-            marks.append(xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1)
             spans = base_spans(text)
             base.append([{"start": a, "kind": k, "end": b} for a, k, b in spans])
             own = []
@@ -158,7 +156,7 @@ def _found(batches):
         span = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
         entry = pa.struct([*span, ("pattern", pa.string()), ("instance", pa.int64())])
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(marks, pa.int64()), pa.array(base, pa.list_(span)), pa.array(seen, pa.list_(entry))],
+            [batch.column(0), batch.column(1), pa.array(base, pa.list_(span)), pa.array(seen, pa.list_(entry))],
             names=["doc_id", "mark", "base", "seen"])
 
 
@@ -196,7 +194,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     a position in ``KINDS``, offsets in code points, end exclusive. Null and empty texts
     have none. Repeated rows give equal rows; an empty table none. Other columns are ignored.
     """
-    rows = narrowed(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = narrowed(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("mark"), F.col("text").cast("string"))
     found = materialise(rows.mapInArrow(_found, f"doc_id long, mark long, base array<{SPAN}>, seen array<{SEEN}>"), "pii-found")
     seen = found.where(F.size("seen") > 0).select("mark", F.explode("seen").alias("s")).select("mark", "s.*")
     # A text that is repeated counts once.
@@ -240,12 +238,6 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     names = docs.columns
     at = names.index(text_col)
 
-    def marked(batches):
-        claim("pii")
-        for batch in batches:
-            marks = [xxhash.xxh3_64_intdigest((x.as_py() or "").encode("utf-8", "surrogatepass")) >> 1 for x in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.int64())], names=[*batch.schema.names, key])
-
     def masked(batches):
         claim("pii")
         for batch in batches:
@@ -263,6 +255,6 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             columns = [*batch.columns[:at], pa.array(texts, batch.column(at).type), *batch.columns[at + 1 : len(names)]]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    keyed = docs.mapInArrow(marked, T.StructType([*docs.schema.fields, T.StructField(key, T.LongType())]))
+    keyed = docs.withColumn(key, F.xxhash64(F.col(f"`{text_col}`").cast("string")))
     keyed = keyed.join(added, F.col(key) == F.col(mark), "left").select(*[F.col(f"`{c}`") for c in names], more_col)
     return keyed.mapInArrow(masked, docs.schema)

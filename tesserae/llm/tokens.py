@@ -15,8 +15,8 @@ import string
 
 from tesserae.llm.common import claim, holds
 
-#: A worker forgets its words beyond this many, so memory stays bounded.
-MAX_WORDS = 600_000
+#: Words of a generation; a worker keeps those of two, so memory stays bounded.
+MAX_WORDS = 300_000
 _SIGNS = string.punctuation.encode()
 _LATIN = re.compile("[a-zß-öø-ÿ]+")
 #: Byte-level BPE writes bytes as characters: printable ones as themselves, the others as those from 256 on.
@@ -45,6 +45,7 @@ class WordTokenizer:
         self.tokenizer.encode_special_tokens = special_as_text
         self.model = self.tokenizer.model
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
     def learn(self, words) -> None:
         """Encode the words that aren't known yet.
@@ -58,8 +59,14 @@ class WordTokenizer:
         if not new:
             return
         if len(self.known) + len(new) > MAX_WORDS:
-            self.known = {}
+            # Words that occur again move from one generation to the next; the others are forgotten.
+            self.known, self.before = {}, self.known
             new = list(words)
+        again = self.before
+        self.known.update((w, again[w]) for w in new if w in again)
+        new = [w for w in new if w not in again]
+        if not new:
+            return
         plain, need = [], set()
         for w in new:
             core = w.rstrip(_SIGNS)
@@ -74,7 +81,9 @@ class WordTokenizer:
         for w, e in zip(need, encoded, strict=True):
             self.known[w] = _bytes(e.ids)
         for w, core, signs in plain:
-            ids = _bytes([x.id for x in self.model.tokenize(core.decode("latin-1").translate(_BYTE_CHARS))])
+            ids = self.known.get(core) or again.get(core)
+            if ids is None:
+                ids = _bytes([x.id for x in self.model.tokenize(core.decode("latin-1").translate(_BYTE_CHARS))])
             self.known[w] = ids + self.known[signs] if signs else ids
 
     def ids(self, text: bytes) -> bytes:
