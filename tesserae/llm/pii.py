@@ -1,11 +1,14 @@
 """Personal data: fixed patterns, and identifiers found by bootstrapped contexts.
 
-Base spans (email, ip, card, phone) follow fixed rules. They are the seeds: the two
-words before a seed make a lexical pattern. Other tokens with digits that follow some
-pattern are instances. Spark scores the graph of patterns and instances in turns: a
-pattern by the share of its occurrences that are seeds or trusted instances of a kind,
-an instance by its patterns. Patterns of high score that several different seeds
-support give new spans, of kind ``id``.
+Base spans (email, ip, card, phone) follow fixed rules. They are seeds, and so are secrets
+of a known form, which are no base spans. What stands before a seed makes two lexical
+patterns: the last word and the marks after it (``token = "``), and the same with the word
+before. Other tokens that may be identifiers are instances, which the same patterns tie to
+the seeds. Spark scores this graph in turns: a pattern by the share of its occurrences that
+are seeds of one kind or instances trusted as that kind, an instance by its best pattern that
+enough different seeds or trusted instances support. So instances found in one turn support
+other patterns in the next. New spans, of kind ``id``, are the instances of high-confidence patterns
+and the secrets.
 """
 
 from __future__ import annotations
@@ -22,15 +25,11 @@ from tesserae.llm.common import BROADCAST_ROWS, claim, fresh, materialise, narro
 #: In the order in which spans of one start are listed; the last is what the method adds.
 KINDS = ("email", "ip", "card", "phone", "id")
 #: Turns of scoring.
-ROUNDS = 3
-#: A pattern gives new spans at this score and number of different seeds, an instance at this score.
-PATTERN_SCORE, SEEDS, INSTANCE_SCORE = 0.6, 3, 0.5
-#: What an instance that is no seed adds to its patterns' scores, at most.
-TRUST = 0.5
-#: Code points of a token that may be an identifier, and digits that it has at least.
-TOKEN, DIGITS = (6, 64), 4
-#: Code points before a span in which its two context words are looked for.
-CONTEXT = 64
+ROUNDS = 6
+#: A pattern is trusted at this score and number of different seeds and trusted instances, an instance at this score.
+PATTERN_SCORE, SUPPORT, INSTANCE_SCORE = 0.4, 3, 0.4
+#: What an instance that is no seed adds to its patterns' scores, for its own score.
+TRUST = 0.9
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -42,10 +41,21 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 #: An identifier written in groups of digits, such as 0171 234 5678.
 _GROUPS = re.compile(r"(?<!\S)\(?[0-9]++(?:(?:[ /.-]|\) ?| \(|\)[/-])[0-9]++)*+(?=[\"'`)\]}>,;:!?.]*+(?:\s|\Z))")
-_EDGES = "\"'`()[]{}<>,;:!?.=#$%&*"
+_EDGES = "\"'`()[]{}<>,;:!?.=#$%&*|"
+#: Seeds that are no base spans: long hexadecimal digits, and key formats that name themselves.
+_SECRET = re.compile(r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)(?![A-Za-z0-9])")
+#: Shorter ones make patterns, but need one themselves to be personal data.
+_LIKELY = re.compile(r"(?<![A-Za-z0-9])(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{16,31}(?![A-Za-z0-9])")
+#: Tokens that may be identifiers hold a digit, or a mark within that no ordinary word has, or follow = or :.
+_TOKEN = re.compile(
+    r"(?:(?<=[=:])|(?<=[=:][\s\"'`])|(?<=[=:]\s[\"'`]))(?P<named>[^\s=:\"'`][^\s=:]*+)"
+    r"|(?<![^\s=:])[^\s=:0-9()@+~^\\{}\[\]]*+[0-9()@+~^\\{}\[\]][^\s=:]*+")
+_ODD = re.compile(r"[0-9]|(?<=[^\W_])[()@+~^\\{}\[\]](?=[^\W_])")
+_CONTEXT = re.compile(r"[^\W\d_]+|[0-9]+")
+_LETTER = re.compile(r"[^\W\d_]")
 
 SPAN = "struct<start:int,kind:int,end:int>"
-SEEN = "struct<start:int,kind:int,end:int,pattern:string,instance:bigint>"
+SEEN = "struct<start:int,kind:int,end:int,pattern:array<bigint>,instance:bigint>"
 
 
 def luhn(digits: str) -> bool:
@@ -96,43 +106,54 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _pattern(text: str, start: int) -> str | None:
-    """The two words before a span, in lower case, digits as 0; None if there is no word."""
-    before = text[max(0, start - CONTEXT) : start].lower().split()[-2:]
-    joined = _DIGIT.sub("0", " ".join(before))
-    return joined if any(map(str.isalpha, joined)) else None
-
-
 def _instances(text: str, base: list[tuple[int, int, int]]):
-    """Tokens with digits and runs of digit groups, outside of base spans."""
+    """(start, kind, end) of tokens that may be identifiers and runs of digit groups, outside of base spans.
+
+    ``kind`` is that of secrets of a known form, one more for what is likely one, else None.
+    Linear in the text's length.
+    """
+    secrets = [(*m.span(), len(KINDS) - 1) for m in _SECRET.finditer(text)] + [(*m.span(), len(KINDS)) for m in _LIKELY.finditer(text)]
     runs = [m.span() for m in _GROUPS.finditer(text) if " " in m[0]]
-    run = 0
-    taken, i, last = sorted((a, b) for a, _, b in base), 0, -1
-    for m in _DIGIT.finditer(text):
-        at = m.start()
-        if at < last:
+    tokens = []
+    for m in _TOKEN.finditer(text):
+        start, end = m.span()
+        if m["named"] is None and not _ODD.search(text, start, end):
             continue
-        start, end = at, at + 1
-        while start > 0 and at - start <= TOKEN[1] and not text[start - 1].isspace():
-            start -= 1
-        while end < len(text) and end - at <= TOKEN[1] and not text[end].isspace():
-            end += 1
-        while run < len(runs) and runs[run][1] <= at:
-            run += 1
-        grouped = run < len(runs) and runs[run][0] <= at
-        if grouped:
-            start, end = runs[run]
-        last = end
-        while start < end and text[start] in _EDGES and not grouped:
+        while start < end and text[start] in _EDGES:
             start += 1
         while end > start and text[end - 1] in _EDGES:
             end -= 1
+        if start < end:
+            tokens.append((start, end))
+    # What starts first wins, of equal starts the earlier sort.
+    last, i, taken = 0, 0, sorted((a, b) for a, _, b in base)
+    for start, rank, end, kind in sorted([(a, 0, b, k) for a, b, k in secrets] + [(a, 1, b, None) for a, b in runs] + [(a, 2, b, None) for a, b in tokens], key=lambda x: x[:3]):
+        if start < last:
+            continue
         while i < len(taken) and taken[i][1] <= start:
             i += 1
-        if i < len(taken) and taken[i][0] < end or not (grouped or TOKEN[0] <= end - start <= TOKEN[1]):
+        if i < len(taken) and taken[i][0] < end:
             continue
-        if len(_DIGIT.findall(text, start, end)) >= DIGITS:
-            yield start, end
+        last = end
+        yield start, kind, end
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
+
+
+def _occurrences(text: str, base: list[tuple[int, int, int]]):
+    """(start, kind, end, patterns) of seeds and instances; each part of the text is read once for its context."""
+    words, at = [], 0
+    for start, kind, end in sorted([*base, *_instances(text, base)], key=lambda x: (x[0], x[2])):
+        if start >= at:
+            found = list(_CONTEXT.finditer(text, at, start))[-2:]
+            marks = "".join(text[found[-1].end() if found else at : start].split())
+            words = [*words, *(m[0].lower() if _LETTER.match(m[0]) else "0" for m in found)][-2:]
+            # A pattern has a word at least; a number alone says nothing.
+            contexts = [words[-n:] for n in (1, 2) if len(words) >= n and set(words[-n:]) != {"0"}]
+            yield start, kind, end, [_hash(f"{' '.join(c)} {marks}") for c in contexts]
+            words, at = [*words, "0"][-2:], end
 
 
 def joined(spans) -> str:
@@ -147,44 +168,43 @@ def _found(batches):
             text = value.as_py() or ""
             spans = base_spans(text)
             base.append([{"start": a, "kind": k, "end": b} for a, k, b in spans])
-            own = []
-            for a, k, b in [*spans, *((a, None, b) for a, b in _instances(text, spans))]:
-                pattern = _pattern(text, a)
-                if pattern is not None:
-                    own.append({"start": a, "kind": k, "end": b, "pattern": pattern, "instance": xxhash.xxh3_64_intdigest(text[a:b].lower().encode("utf-8", "surrogatepass")) >> 1})
+            own = [{"start": a, "kind": k, "end": b, "pattern": p, "instance": _hash(text[a:b].lower())} for a, k, b, p in _occurrences(text, spans)]
             seen.append(own)
         span = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
-        entry = pa.struct([*span, ("pattern", pa.string()), ("instance", pa.int64())])
+        entry = pa.struct([*span, ("pattern", pa.list_(pa.int64())), ("instance", pa.int64())])
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(base, pa.list_(span)), pa.array(seen, pa.list_(entry))],
             names=["doc_id", "mark", "base", "seen"])
 
 
 def scored(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """Edges (pattern, instance, kind, n) -> patterns (pattern, score, seeds), instances (instance, trust).
+    """Edges (pattern, instance, kind, n) -> trusted patterns (pattern, score) and instances (instance, trust).
 
     ``kind`` is null for an instance that isn't a seed. A pattern's score is that of its
     best kind. Both sides are aggregated before they are shuffled.
     """
-    kinds = range(len(KINDS) - 1)
+    kinds = range(len(KINDS))
     n, seed = F.col("n"), F.col("kind").isNotNull()
 
     def patterns(joined: DataFrame) -> DataFrame:
-        sums = [F.sum(n * F.when(F.col("kind") == k, 1.0).when(~seed, TRUST * F.coalesce(F.col(f"t{k}"), F.lit(0.0))).otherwise(0.0)).alias(f"s{k}") for k in kinds]
-        support = [F.count(F.when(F.col("kind") == k, 1)).alias(f"m{k}") for k in kinds]
-        return joined.groupBy("pattern").agg(F.sum("n").alias("all"), *sums, *support)
-
-    pats = patterns(edges.withColumns({f"t{k}": F.lit(None).cast("double") for k in kinds}))
+        worth = [F.when(F.col("kind") == k, 1.0).when(~seed, TRUST * F.coalesce(F.col(f"t{k}"), F.lit(0.0))).otherwise(0.0) for k in kinds]
+        sums = [F.sum(n * w).alias(f"s{k}") for k, w in zip(kinds, worth, strict=True)]
+        support = [F.count(F.when(w >= INSTANCE_SCORE, 1)).alias(f"m{k}") for k, w in zip(kinds, worth, strict=True)]
+        each = joined.groupBy("pattern").agg(F.sum("n").alias("all"), *sums, *support)
+        score = [F.when(F.col(f"m{k}") >= SUPPORT, F.col(f"s{k}") / (F.col("all") + 1)) for k in kinds]
+        best = F.greatest(*score)
+        return each.where(best >= PATTERN_SCORE).select(F.col("pattern").alias("p"), best.alias("score"), *[F.coalesce(x, F.lit(0.0)).alias(f"w{k}") for k, x in zip(kinds, score, strict=True)])
+
+    pats = materialise(patterns(edges.withColumns({f"t{k}": F.lit(None).cast("double") for k in kinds})), "pii-patterns")
     trust = None
-    for _ in range(rounds):
-        score = pats.select(F.col("pattern").alias("p"), *[(F.col(f"s{k}") / (F.col("all") + 1)).alias(f"w{k}") for k in kinds])
-        some = edges.where(~seed).join(score, F.col("pattern") == F.col("p"))
-        trust = some.groupBy(F.col("instance").alias("i")).agg(*[(F.sum(n * F.col(f"w{k}")) / F.sum("n")).alias(f"t{k}") for k in kinds])
+    for turn in range(rounds):
+        some = edges.where(~seed).join(pats, F.col("pattern") == F.col("p"))
+        trust = some.groupBy(F.col("instance").alias("i")).agg(*[F.max(f"w{k}").alias(f"t{k}") for k in kinds])
         trust = materialise(trust, "pii-instances")
+        if turn == rounds - 1:
+            break
         pats = materialise(patterns(edges.join(trust, ~seed & (F.col("instance") == F.col("i")), "left")), "pii-patterns")
-    best = F.greatest(*[F.struct((F.col(f"s{k}") / (F.col("all") + 1)).alias("score"), F.col(f"m{k}").alias("seeds")) for k in kinds])
-    pats = pats.select("pattern", best.alias("b")).select("pattern", "b.score", "b.seeds")
-    return pats, trust.select(F.col("i").alias("instance"), F.greatest(*[F.col(f"t{k}") for k in kinds]).alias("trust"))
+    return pats.select(F.col("p").alias("pattern"), "score"), trust.select(F.col("i").alias("instance"), F.greatest(*[F.col(f"t{k}") for k in kinds]).alias("trust"))
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,28 +212,34 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     Returns doc_id, mark (of the text), base and added: arrays of (start, kind, end), kind
     a position in ``KINDS``, offsets in code points, end exclusive. Null and empty texts
-    have none. Repeated rows give equal rows; an empty table none. Other columns are ignored.
+    have none. Repeated rows give equal rows and count once; an empty table gives none. Other
+    columns are ignored.
     """
     rows = narrowed(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("mark"), F.col("text").cast("string"))
     found = materialise(rows.mapInArrow(_found, f"doc_id long, mark long, base array<{SPAN}>, seen array<{SEEN}>"), "pii-found")
-    seen = found.where(F.size("seen") > 0).select("mark", F.explode("seen").alias("s")).select("mark", "s.*")
+    last = len(KINDS) - 1
     # A text that is repeated counts once.
-    once = seen.dropDuplicates(["mark", "start", "kind"])
-    edges = materialise(once.groupBy("pattern", "instance", "kind").agg(F.count(F.lit(1)).alias("n")), "pii-edges")
+    once = found.where(F.size("seen") > 0).groupBy("mark").agg(F.first("seen").alias("seen"))
+    once = once.select("mark", F.explode("seen").alias("s")).select("mark", "s.start", "s.kind", "s.end", "s.instance", F.explode_outer("s.pattern").alias("pattern"))
+    once = materialise(once, "pii-seen")
+    edges = materialise(once.where("pattern is not null").groupBy("pattern", "instance", F.least("kind", F.lit(last)).alias("kind")).agg(F.count(F.lit(1)).alias("n")), "pii-edges")
     patterns, instances = scored(edges)
-    good = patterns.where((F.col("score") >= PATTERN_SCORE) & (F.col("seeds") >= SEEDS)).select("pattern")
-    sure = instances.where(F.col("trust") >= INSTANCE_SCORE).select("instance")
-    new = once.where("kind is null").join(good, "pattern", "left_semi").join(sure, "instance", "left_semi")
-    new = new.groupBy(F.col("mark").alias("m")).agg(F.array_sort(F.collect_set(F.struct("start", F.lit(len(KINDS) - 1).alias("kind"), "end"))).alias("added"))
-    return found.join(new, F.col("mark") == F.col("m"), "left").select(
-        "doc_id", "mark", "base", F.coalesce("added", F.array().cast(f"array<{SPAN}>")).alias("added"))
+    sure = instances.where(F.col("trust") >= INSTANCE_SCORE).select("instance", F.lit(True).alias("sure"))
+    new = once.where(f"kind is null or kind > {last}").join(patterns.select("pattern"), "pattern", "left_semi")
+    new = new.join(sure, "instance", "left").where("sure or kind is not null")
+    new = new.select("mark", "start", "end").unionByName(once.where(F.col("kind") == last).select("mark", "start", "end"))
+    new = new.groupBy(F.col("mark").alias("m")).agg(F.array_sort(F.collect_set(F.struct("start", F.lit(last).alias("kind"), "end"))).alias("added"))
+    # Texts without occurrences, however often they are repeated, need no join.
+    none = F.array().cast(f"array<{SPAN}>")
+    met = found.where(F.size("seen") > 0).join(new, F.col("mark") == F.col("m"), "left").select("doc_id", "mark", "base", F.coalesce("added", none).alias("added"))
+    return met.unionByName(found.where(F.size("seen") == 0).select("doc_id", "mark", "base", none.alias("added")))
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added.
+    """Per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_spans.
 
-    Counts and digest are of the base spans; ``spans`` lists all as kind:start:end by start,
-    then kind. The cases that ``detect`` names hold.
+    The first counts and the digest are of the base spans; ``spans`` lists all as kind:start:end
+    by start, then kind; n_added and n_spans count the method's and all. The cases that ``detect`` names hold.
     """
     names = F.array(*[F.lit(k) for k in KINDS])
     text = lambda spans: F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"], x["end"])), ",")
@@ -221,7 +247,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     found = detect(docs, id_col, text_col)
     return found.select(
         "doc_id", *[number(k).alias(f"n_{KINDS[k]}") for k in range(4)], F.sha2(text(F.col("base")), 256).alias("base_sha256"),
-        text(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))
+        text(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"), (F.size("base") + F.size("added")).cast("long").alias("n_spans"))
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
