@@ -81,9 +81,12 @@ class Catalog:
     # -- compile
 
     def compiled(self, request: Mapping) -> tuple[Column | None, list[DataFrame], int]:
-        """(predicate, scored tables, indexes used) of a canonical request; None if no index is asked."""
+        """(predicate, scored tables, indexes used) of a canonical request; None if no index is asked.
+
+        What the other indexes leave is all that is scored.
+        """
         request = self._without_composites(request)
-        used, predicate, scored = 0, None, []
+        used, predicate, trees = 0, None, []
         for name, kind in self.kinds.items():
             asked = kind.parse(request)
             if asked is None:
@@ -92,14 +95,14 @@ class Catalog:
                 parsed = kind.parsed(asked)
                 used += 1
                 if parsed is None:
-                    predicate = F.lit(False)
+                    predicate = F.lit(False) if predicate is None else predicate & F.lit(False)
                 else:
-                    scored.append(kind.matches(parsed.tree, self.rows))
+                    trees.append((kind, parsed.tree))
                 continue
             used += 1
             own = kind.predicate(asked, self.rows)
             predicate = own if predicate is None else predicate & own
-        return predicate, scored, used
+        return predicate, [kind.matches(tree, self.rows, predicate) for kind, tree in trees], used
 
     def _without_composites(self, request: Mapping) -> dict:
         """Queries on a composite index are queries on its components (Q1)."""
@@ -118,7 +121,7 @@ class Catalog:
         predicate, scored, used = self.compiled(request)
         if not used:
             return self.rows.where(F.lit(False)).withColumn("score", F.lit(None).cast("bigint"))
-        rows = self.rows if predicate is None else self.rows.where(predicate)
+        rows = self.rows if predicate is None or scored else self.rows.where(predicate)
         if not scored:
             return rows.withColumn("score", F.lit(None).cast("bigint"))
         total = None
@@ -160,8 +163,12 @@ class Catalog:
             if not merge:
                 return SearchResult(rows.select(*metadata, F.col("rid").alias(RID), F.col("score").alias(SCORE), one.alias(NORMALIZED), F.col("score").alias("sort_key_")), rows)
             # The best score is a one-row aggregate, so that no task holds all results.
-            best = rows.agg(F.max("score").alias("best"))
-            ranked = sorting.windowed(rows.orderBy(F.col("score").desc(), F.col("rid").desc()), window).join(F.broadcast(best))
+            ranked = sorting.windowed(rows.orderBy(F.col("score").desc(), F.col("rid").desc()), window)
+            if window.start:
+                ranked = ranked.withColumn("best", rows.agg(F.max("score")).scalar())
+            else:
+                # The best of all is among the first; the window holds them all only where no limit was asked.
+                ranked = ranked.withColumn("best", (rows if window.stop is None else ranked).agg(F.max("score")).scalar())
             share = F.floor(F.lit(100.0) * F.col("score") / F.col("best")).cast("bigint")
             out = ranked.select(*metadata, F.col("rid").alias(RID), F.col("score").alias(SCORE), F.coalesce(share, one).alias(NORMALIZED)).orderBy(F.col(SCORE).desc(), F.col(RID).desc())
         else:

@@ -1,10 +1,11 @@
 """Full-text search with BM25 or cosine ranking.
 
-Documents keep their words as an array, in order. A query needs only its own words:
-one scan takes them (and whether phrases occur) out of the arrays, so what is shuffled is one
-small row for each document and query word it holds, not the corpus's postings. Document
-frequencies and corpus length are one-row or one-row-a-word aggregates. Scores are integers,
-scaled by 1024, so sums don't depend on their order.
+Documents keep their words as an array, in order, and their weight. A query's statistics
+(documents, mean length, the frequencies of its words) are one row, read as a scalar subquery;
+documents are then counted and scored where they stand, without a shuffle, and only those that
+the query's other parts leave. Words that a pattern matches have frequencies of their own: one
+small row for each document and such word is shuffled, not the corpus's postings. Scores are
+integers, scaled by 1024, so sums don't depend on their order.
 """
 
 from __future__ import annotations
@@ -116,7 +117,13 @@ class Text(Kind):
     def stored(self, df: DataFrame) -> dict[str, Column]:
         sources = [column(s) for s in self.spec.sources]
         some = F.coalesce(*[s.isNotNull() for s in sources]) if len(sources) == 1 else F.greatest(*[s.isNotNull() for s in sources])
-        return {self.at: F.when(some, self.pipeline.column(F.concat_ws(" ", *sources)))}
+        words = F.when(some, self.pipeline.column(F.concat_ws(" ", *sources)))
+        # Computed once a document, when it is catalogued: queries read it as a column.
+        return {self.at: words, self.weight: document_weight(words)}
+
+    @property
+    def weight(self) -> str:
+        return f"{self.at}__weight"
 
     def parse(self, request: Mapping) -> IndexQuery | None:
         return super().parse(request)
@@ -130,10 +137,6 @@ class Text(Kind):
 
     # -- statistics
 
-    def stats(self, rows: DataFrame) -> DataFrame:
-        """One row: n documents, their mean length."""
-        return rows.where(self.indexed).agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(self.value)).alias("mean"))
-
     def _leaf_condition(self, leaf: Word | Glob, word: Column) -> Column:
         if isinstance(leaf, Word):
             return word == leaf.text
@@ -145,11 +148,10 @@ class Text(Kind):
         wanted = lambda w: F.coalesce(*[c for c in [self._any_leaf(simple, w)]])
         spaced = F.concat(F.lit(" "), F.array_join(self.value, " "), F.lit(" "))
         flags = [F.contains(spaced, F.lit(" " + " ".join(p.words) + " ")).alias(f"p{i}") for i, p in enumerate(phrases)]
-        hits = rows.where(self.indexed).select("rid", F.size(self.value).alias("length"), self.value.alias("words"), F.filter(self.value, wanted).alias("hits"), *flags)
+        hits = rows.where(self.indexed).select("rid", F.size(self.value).alias("length"), F.col(self.weight).alias("weight") if weigh else F.lit(1.0).alias("weight"), F.filter(self.value, wanted).alias("hits"), *flags)
         hits = hits.where(F.size("hits") > 0)
-        weight = document_weight(F.col("words")) if weigh else F.lit(1.0)
         keep = ["rid", "length", *[f"p{i}" for i in range(len(phrases))]]
-        each = hits.select(*keep, weight.alias("weight"), F.explode("hits").alias("word"))
+        each = hits.select(*keep, "weight", F.explode("hits").alias("word"))
         return each.groupBy(*keep, "weight", "word").agg(F.count(F.lit(1)).cast("double").alias("f"))
 
     def _any_leaf(self, leaves: list[Word | Glob], word: Column) -> Column:
@@ -167,19 +169,18 @@ class Text(Kind):
 
     # -- search
 
-    def matches(self, tree: Node, rows: DataFrame) -> DataFrame:
-        """(rid, score) of the documents that a query tree selects."""
+    def matches(self, tree: Node, rows: DataFrame, within: Column | None = None) -> DataFrame:
+        """(rid, score) of the documents that a query tree selects, of those ``within`` if that is given.
+
+        Statistics are those of all documents.
+        """
         leaves = _all_leaves(tree)
         phrases = [x for x in leaves if isinstance(x, Phrase)]
         simple = list(dict.fromkeys([x for x in leaves if not isinstance(x, Phrase)] + [Word(w) for p in phrases for w in p.words]))
-        postings = self._postings(rows, simple, phrases, isinstance(self.scorer, Cosine) or not isinstance(self.scorer, Okapi))
-        df = postings.groupBy(F.col("word").alias("w")).agg(F.count(F.lit(1)).alias("df"))
-        scored = postings.join(F.broadcast(self.stats(rows))).join(df, F.col("word") == F.col("w"))
-        n, mean = F.col("n").cast("double"), F.col("mean")
-        scored = scored.withColumn("s", self.scorer.score(F.col("f"), F.col("length").cast("double"), F.col("weight"), n, mean, F.col("df").cast("double")))
-        sums = [F.sum(F.when(self._leaf_condition(leaf, F.col("word")), F.col("s"))).alias(f"s{i}") for i, leaf in enumerate(simple)]
-        flags = [F.first(f"p{i}").alias(f"p{i}") for i in range(len(phrases))]
-        documents = scored.groupBy("rid").agg(*sums, *flags)
+        if any(isinstance(x, Glob) for x in simple):
+            documents = self._by_postings(simple, phrases, rows, within)
+        else:
+            documents = self._in_place(simple, phrases, rows, within)
 
         def evaluate(node: Node) -> Column:
             """The node's score for a document, null where it doesn't match."""
@@ -202,13 +203,50 @@ class Text(Kind):
 
         return documents.select("rid", evaluate(tree).cast("bigint").alias("score")).where("score is not null")
 
+    def _occurrences(self, text: str) -> Column:
+        return F.size(F.filter(self.value, lambda w: w == text))
+
+    def _in_place(self, simple: list[Word], phrases: list[Phrase], rows: DataFrame, within: Column | None) -> DataFrame:
+        """(rid, s0 .., p0 ..): each word's score and whether each phrase occurs, for documents with some word."""
+        has = [F.array_contains(self.value, x.text) for x in simple]
+        counts = [F.sum(F.when(h, 1.0).otherwise(0.0)).alias(f"d{i}") for i, h in enumerate(has)]
+        stats = rows.where(self.indexed).agg(F.struct(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.size(self.value)).alias("mean"), *counts).alias("stats")).scalar()
+        some = has[0]
+        for h in has[1:]:
+            some = some | h
+        held = rows.where(self.indexed & some if within is None else within & self.indexed & some)
+        # A subquery of its own column is read once a row, however many words ask for it.
+        held = held.withColumn("stats", stats)
+        spaced = F.concat(F.lit(" "), F.array_join(self.value, " "), F.lit(" "))
+        scores = []
+        for i, x in enumerate(simple):
+            f = self._occurrences(x.text).cast("double")
+            df = F.nullif(F.col(f"stats.d{i}"), F.lit(0.0))
+            score = self.scorer.score(f, F.size(self.value).cast("double"), F.col(self.weight), F.col("stats.n"), F.col("stats.mean"), df)
+            scores.append(F.when(has[i], score).alias(f"s{i}"))
+        flags = [F.contains(spaced, F.lit(" " + " ".join(p.words) + " ")).alias(f"p{i}") for i, p in enumerate(phrases)]
+        return held.select("rid", *scores, *flags)
+
+    def _by_postings(self, simple: list[Word | Glob], phrases: list[Phrase], rows: DataFrame, within: Column | None) -> DataFrame:
+        """The same where patterns match words that aren't known beforehand."""
+        weigh = not isinstance(self.scorer, Okapi)
+        df = self._postings(rows, simple, [], False).groupBy(F.col("word").alias("w")).agg(F.count(F.lit(1)).alias("df"))
+        postings = self._postings(rows if within is None else rows.where(within), simple, phrases, weigh)
+        stats = rows.where(self.indexed).agg(F.struct(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.size(self.value)).alias("mean")).alias("stats")).scalar()
+        scored = postings.join(df, F.col("word") == F.col("w")).withColumn("stats", stats)
+        scored = scored.withColumn("s", self.scorer.score(F.col("f"), F.col("length").cast("double"), F.col("weight"), F.col("stats.n"), F.col("stats.mean"), F.col("df").cast("double")))
+        sums = [F.sum(F.when(self._leaf_condition(leaf, F.col("word")), F.col("s"))).alias(f"s{i}") for i, leaf in enumerate(simple)]
+        flags = [F.first(f"p{i}").alias(f"p{i}") for i in range(len(phrases))]
+        return scored.groupBy("rid").agg(*sums, *flags)
+
     def query_weight(self, tree: Node, rows: DataFrame) -> DataFrame:
         """One row, ``weight``: each occurrence of a word in the query counts."""
         words = parser.terms(tree)
         occurrences = F.explode(F.array(*[F.lit(w) for w in words])).alias("q")
         asked = rows.sparkSession.range(1).select(occurrences)
-        df = asked.join(self.frequencies(rows, words), F.col("q") == F.col("word")).join(F.broadcast(self.stats(rows)))
-        return df.agg(self.scorer.query_weight(F.col("n").cast("double"), F.col("df").cast("double")).cast("bigint").alias("weight"))
+        df = asked.join(self.frequencies(rows, words), F.col("q") == F.col("word"))
+        n = rows.where(self.indexed).agg(F.count(F.lit(1)).cast("double")).scalar()
+        return df.withColumn("n", n).agg(self.scorer.query_weight(F.col("n"), F.col("df").cast("double")).cast("bigint").alias("weight"))
 
     # -- lexicon
 
@@ -221,7 +259,7 @@ class Text(Kind):
 
     def postings(self, rows: DataFrame) -> DataFrame:
         """(word, rid, f, length, weight): the whole inverted table, to be written by word for reuse."""
-        base = rows.where(self.indexed).select("rid", F.size(self.value).alias("length"), document_weight(self.value).alias("weight"), F.explode(self.value).alias("word"))
+        base = rows.where(self.indexed).select("rid", F.size(self.value).alias("length"), F.col(self.weight).alias("weight"), F.explode(self.value).alias("word"))
         return base.groupBy("word", "rid", "length", "weight").agg(F.count(F.lit(1)).alias("f"))
 
 
