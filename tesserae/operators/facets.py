@@ -83,10 +83,10 @@ def index_size(kind: Kind, rows: DataFrame) -> DataFrame:
 
 
 def value_to_rids(kind: Kind, rows: DataFrame) -> DataFrame:
-    """(value, rids), rids sorted: the index browser's listing."""
+    """(value, rid): the index browser's listing (G15), a row for each value and record."""
     if isinstance(kind, Text) or isinstance(kind, DateRange):
         raise CatalogError(f"index {kind.spec.name!r} lists no values")
-    return _values(kind, rows).groupBy("value").agg(F.sort_array(F.collect_list("rid")).alias("rids"))
+    return _values(kind, rows)
 
 
 def indexed_rids(kind: Kind, rows: DataFrame) -> DataFrame:

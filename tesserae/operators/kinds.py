@@ -348,7 +348,10 @@ class Topic(Kind):
 
 
 class UUID(Kind):
-    """A unique value (I8): of rows with the same one, the smallest rid is found by it; all sort by it."""
+    """A unique value (I8): of rows with the same one, the first catalogued is found by it; all sort by it.
+
+    Of rows that are catalogued together that is the one of smallest rid.
+    """
 
     def __init__(self, spec: IndexSpec):
         super().__init__(spec)
@@ -357,7 +360,15 @@ class UUID(Kind):
     def stored(self, df: DataFrame) -> dict[str, Column]:
         value, _ = self._winner(df)
         # Pruned unless a query asks for it; filters on the value go below the window.
-        return {self.at: value, self.first: F.row_number().over(Window.partitionBy(value).orderBy("rid")) == 1}
+        return {self.at: value, self.first: self.is_first(value)}
+
+    @staticmethod
+    def is_first(value: Column, before: Column | None = None) -> Column:
+        """Whether a row is found by its value: the one that was so ``before``, else that of the smallest rid."""
+        # Rows without a value are no group, which one task would have to sort.
+        group = Window.partitionBy(value, F.when(value.isNull(), F.col("rid")))
+        order = ["rid"] if before is None else [before.desc_nulls_last(), "rid"]
+        return F.row_number().over(group.orderBy(*order)) == 1
 
     @property
     def indexed(self) -> Column:

@@ -402,32 +402,23 @@ def _placed(found: DataFrame, columns: str) -> DataFrame:
     return found.sparkSession.createDataFrame(placed, f"position long, {columns}")
 
 
-def whole(name: str, request: dict, sql: str, catalog: Callable = orders) -> None:
-    """As ``ordered``, but all rows of a request without a limit."""
-
-    def run(spark, d):
-        return _placed(catalog(spark, d).search(request).df.select(F.col("data_record_id_").alias("rid")), "rid long")
-
-    query(f"SELECT (row_number() OVER () - 1)::BIGINT AS position, rid FROM ({sql})", name)(run)
-
-
 def ordered(name: str, request: dict, sql: str, catalog: Callable = orders) -> None:
-    """The order counts: ``position`` is each row's place."""
+    """The order counts: ``position`` is each row's place. All rows that the request gives are returned."""
 
     def run(spark, d):
         found = catalog(spark, d).search(request).df.select(F.col("data_record_id_").alias("rid"))
-        rows = [r[0] for r in found.limit(500).collect()]
-        return spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "position int, rid long")
+        if " LIMIT " in sql:
+            # The first rows of an order come in one partition, where ids count up from 0.
+            return found.coalesce(1).select(F.monotonically_increasing_id().alias("position"), "rid")
+        return _placed(found, "rid long")
 
-    query(f"SELECT (row_number() OVER () - 1)::INT AS position, rid FROM ({sql} LIMIT 500)" if " LIMIT " not in sql else f"SELECT (row_number() OVER () - 1)::INT AS position, rid FROM ({sql})", name)(run)
+    query(f"SELECT (row_number() OVER () - 1)::BIGINT AS position, rid FROM ({sql})", name)(run)
 
 
 ANY = {"o_totalprice": {"query": 0.5, "range": "min"}}
 _O = "SELECT o_orderkey AS rid FROM orders WHERE o_totalprice >= 0.5 "
 ordered("sort_one", {**ANY, "sort_on": "o_totalprice"}, _O + "ORDER BY o_totalprice, o_orderkey")
 ordered("sort_reverse", {**ANY, "sort_on": "o_totalprice", "sort_order": "Descending"}, _O + "ORDER BY o_totalprice DESC, o_orderkey DESC")
-whole("sort_one_whole", {**ANY, "sort_on": "o_totalprice"}, _O + "ORDER BY o_totalprice, o_orderkey")
-whole("sort_reverse_whole", {**ANY, "sort_on": "o_totalprice", "sort_order": "Descending"}, _O + "ORDER BY o_totalprice DESC, o_orderkey DESC")
 ordered("sort_two_mixed", {**ANY, "sort_on": ("o_orderpriority", "o_totalprice"), "sort_order": ("", "reverse"), "b_start": 20, "b_size": 10}, _O + "ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey DESC LIMIT 10 OFFSET 20")
 ordered("sort_minimum_slice", {"o_orderstatus": ["F", "O"], "o_totalprice": {"query": (1e5, 2e5), "range": "min:max"}, "sort_on": ("o_orderpriority", "o_totalprice"), "sort_order": ("", "reverse"), "b_start": 20, "b_size": 10}, "SELECT o_orderkey AS rid FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_totalprice BETWEEN 1e5 AND 2e5 ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey DESC LIMIT 10 OFFSET 20")
 ordered("sort_two_reverse", {**ANY, "sort_on": ("o_orderpriority", "o_custkey"), "sort_order": "reverse", "sort_limit": 40}, _O + "ORDER BY o_orderpriority DESC, o_custkey DESC, o_orderkey DESC LIMIT 40")
@@ -476,7 +467,7 @@ facet("num_objects", orders, lambda c: c.num_objects("priority_or_none"), f"SELE
 facet("num_objects_topic", events, lambda c: c.num_objects("topics"), f"SELECT count(*) AS n FROM events WHERE {' OR '.join(_T.values())}")
 facet("index_size", orders, lambda c: c.index_size("o_custkey"), "SELECT count(DISTINCT o_custkey) AS n FROM orders")
 facet("index_size_path", pages, lambda c: c.index_size("path"), f"SELECT count(DISTINCT w) AS n FROM (SELECT unnest({_PATH}) AS w FROM pages)")
-facet("value_to_rids", customers, lambda c: c.value_to_rids("nation").select("value", F.array_join("rids", ",").alias("rids")), "SELECT c_nationkey AS value, string_agg(c_custkey::VARCHAR, ',' ORDER BY c_custkey) AS rids FROM customer GROUP BY 1")
+facet("value_to_rids", customers, lambda c: c.value_to_rids("nation"), "SELECT c_nationkey AS value, c_custkey AS rid FROM customer")
 facet("indexed_rids", orders, lambda c: c.indexed_rids("status_or_none"), f"SELECT o_orderkey AS rid FROM orders WHERE {S0} IS NOT NULL")
 facet("catalog_length", orders, lambda c: c.rows.agg(F.count(F.lit(1)).alias("n")), "SELECT count(*) AS n FROM orders")
 facet("key_for_document", orders, lambda c: c.key_for_document("o_totalprice", 7), "SELECT o_totalprice AS key FROM orders WHERE o_orderkey = 7")
@@ -497,22 +488,17 @@ def merge_concat(spark, d):
     return merging.merged(_both(spark, d), False).select(F.col("data_record_id_").alias("rid"), "name")
 
 
-@query(f"SELECT (row_number() OVER () - 1)::INT AS position, rid, name FROM (SELECT * FROM ({_ROWS}) ORDER BY bal DESC, rid DESC LIMIT 40)")
-def merge_sorted(spark, d):
-    out = merging.merged(_both(spark, d, sort_on="balance"), True, reverse=True).limit(40).collect()
-    return spark.createDataFrame([(i, r.data_record_id_, r.name) for i, r in enumerate(out)], "position int, rid long, name string")
-
-
 @query(f"SELECT (row_number() OVER () - 1)::BIGINT AS position, rid, name FROM (SELECT * FROM ({_ROWS}) ORDER BY bal DESC, rid DESC)")
-def merge_sorted_whole(spark, d):
+def merge_sorted(spark, d):
     out = merging.merged(_both(spark, d, sort_on="balance"), True, reverse=True)
     return _placed(out.select(F.col("data_record_id_").alias("rid"), "name"), "rid long, name string")
 
 
-@query(text_sql(["w = 'onnt'"], "t0", "t0 IS NOT NULL", last="SELECT rid, score, 1::BIGINT AS norm FROM r") + " UNION ALL " + "SELECT * FROM (" + text_sql(["w = 'onnt'"], "t0", "t0 IS NOT NULL", last="SELECT rid, score, 1::BIGINT AS norm FROM r", words=_HTML, table="pages", rid="page_id", text="html") + ")")
+@query("SELECT (row_number() OVER () - 1)::BIGINT AS position, rid, score, 1::BIGINT AS norm FROM (SELECT * FROM (SELECT * FROM (" + text_sql(["w = 'onnt'"], "t0", "t0 IS NOT NULL") + ") UNION ALL SELECT * FROM (" + text_sql(["w = 'onnt'"], "t0", "t0 IS NOT NULL", words=_HTML, table="pages", rid="page_id", text="html") + ")) ORDER BY score, rid)")
 def merge_scored(spark, d):
     parts_ = [documents(spark, d).search({"text": "onnt"}, merge=False), pages(spark, d).search({"html": "onnt"}, merge=False)]
-    return merging.merged(parts_, True).select(F.col("data_record_id_").alias("rid"), F.col("data_record_score_").alias("score"), F.col("data_record_normalized_score_").alias("norm"))
+    out = merging.merged(parts_, True)
+    return _placed(out.select(F.col("data_record_id_").alias("rid"), F.col("data_record_score_").alias("score"), F.col("data_record_normalized_score_").alias("norm")), "rid long, score long, norm long")
 
 
 # -- ingest and maintenance: S1-S19, A1, A2
@@ -549,6 +535,35 @@ def upsert_metadata_only(spark, d):
     return _state(maintenance.upsert(customers(spark, d), _changed(spark, d), [], update_metadata=True))
 
 
+def _repeated(spark, d):
+    """Customers of nation 3 twice, the later one with more balance and a rid of its own; new ones whose rids are in use."""
+    c = _read(spark, d, "customer").where("c_nationkey = 3")
+    later = c.withColumns({"c_custkey": F.col("c_custkey") + 500_000, "c_acctbal": F.col("c_acctbal") + 7})
+    return c.unionByName(later).unionByName(c.withColumn("c_name", F.concat(F.lit("Clash#"), "c_name")))
+
+
+@query("SELECT c_custkey AS rid, c_name AS uid, CASE WHEN c_nationkey = 3 THEN c_acctbal + 7 ELSE c_acctbal END AS balance FROM customer UNION ALL SELECT NULL, 'Clash#' || c_name, c_acctbal FROM customer WHERE c_nationkey = 3")
+def upsert_repeated_uids(spark, d):
+    """One record a uid, and no rid of another: those that are given anew are negative, and shown as null."""
+    rows = maintenance.upsert(customers(spark, d), _repeated(spark, d)).rows
+    return rows.select(F.when(F.col("rid") >= 0, F.col("rid")).alias("rid"), "uid", F.col("m__balance").alias("balance"))
+
+
+@query("SELECT count(*) AS n, count(*) AS rids, count(*) AS uids FROM (SELECT c_name FROM customer UNION ALL SELECT c_name FROM customer WHERE c_nationkey = 3)")
+def upsert_ids_are_unique(spark, d):
+    rows = maintenance.upsert(customers(spark, d), _repeated(spark, d)).rows
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("rid").alias("rids"), F.count_distinct("uid").alias("uids"))
+
+
+@query("SELECT c_custkey AS rid FROM customer WHERE c_nationkey < 5")
+def uuid_after_upsert(spark, d):
+    """Of a unique value that later records repeat, the record that had it first goes on being found, though their rids are smaller."""
+    c = _read(spark, d, "customer").where("c_nationkey < 5")
+    spec = CatalogSpec("c_custkey", lambda: F.concat("c_name", F.lit("/"), F.col("c_custkey").cast("string"))).add_index("name", "uuid", "c_name")
+    again = maintenance.upsert(Catalog.of(c, spec), c.withColumn("c_custkey", -F.col("c_custkey")))
+    return again.rows.where(again.kind("name").indexed).select("rid")
+
+
 @query("SELECT c_name AS uid FROM customer WHERE c_nationkey < 5")
 def metadata_changes(spark, d):
     return maintenance.metadata_changes(customers(spark, d), _changed(spark, d))

@@ -4,30 +4,67 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.catalog import Catalog, ingest
 from tesserae.functions.scalars import normalized_path
+from tesserae.operators.kinds import UUID
 
 #: Called with (stage, rows so far or None).
 Progress = Callable[[str, int | None], None]
 
 
+def _latest(rows: DataFrame) -> DataFrame:
+    """One row a uid: that of the greatest rid, which was catalogued last; ties go by a hash of the row."""
+    tie = F.xxhash64(*[F.col(c).cast("string") for c, kind in rows.dtypes if "map" not in kind])
+    return rows.groupBy("uid").agg(F.max_by(F.struct(*rows.columns), F.struct("rid", tie)).alias("row")).select("row.*")
+
+
+def _resolved(catalog: Catalog, objects: DataFrame) -> DataFrame:
+    """The objects as the catalog's rows: one a uid, with the rid that they have there.
+
+    A known uid keeps its rid. A new one takes its object's, unless another record has it;
+    then it gets one of its own, a negative hash of the uid. What a unique value's row was
+    found by before is kept in the index's flag, false for other rows.
+    """
+    new, held = _latest(ingest(objects, catalog.spec)), catalog.rows
+    unique = [k for k in catalog.kinds.values() if isinstance(k, UUID)]
+    ids = held.select(F.col("uid").alias("held_uid"), F.col("rid").alias("held_rid"), *[F.when(F.col(k.first), F.col(k.at)).alias(f"held_{k.first}") for k in unique])
+    rows = new.join(ids, F.col("uid") == F.col("held_uid"), "left")
+    taken = held.select(F.col("rid").alias("taken_rid"))
+    rows = rows.join(taken, F.col("held_rid").isNull() & (F.col("rid") == F.col("taken_rid")), "left")
+    # Of new uids that share a rid the first by name takes it.
+    group = Window.partitionBy("rid", F.coalesce("held_rid", "rid")).orderBy(F.col("held_rid").isNotNull(), "uid")
+    own = -(F.xxhash64("uid").bitwiseAND(F.lit((1 << 63) - 1))) - 1
+    clash = F.col("taken_rid").isNotNull() | (F.row_number().over(group) > 1) | F.col("rid").isNull()
+    rid = F.coalesce("held_rid", F.when(clash, own).otherwise(F.col("rid")))
+    flags = {k.first: F.coalesce(F.col(f"held_{k.first}") == F.col(k.at), F.lit(False)) for k in unique}
+    rows = rows.withColumn("resolved", rid).withColumns(flags)
+    return rows.select(F.col("resolved").alias("rid"), *[c for c in held.columns if c != "rid"])
+
+
+def _settled(catalog: Catalog, rows: DataFrame) -> Catalog:
+    """A catalog of changed rows, in which every unique value finds one."""
+    for k in catalog.kinds.values():
+        if isinstance(k, UUID):
+            rows = rows.withColumn(k.first, k.is_first(F.col(k.at), F.col(k.first)))
+    return catalog.with_rows(rows.select(*catalog.rows.columns))
+
+
 def upsert(catalog: Catalog, objects: DataFrame, idxs: Iterable[str] | None = None, update_metadata: bool = True) -> Catalog:
     """Catalog ``objects``; those whose uid is known replace what is held.
 
-    A known uid keeps its rid. With ``idxs`` only those indexes are applied to known
-    objects, and metadata only with ``update_metadata``; new objects get everything.
+    A known uid keeps its rid, a new one never takes another record's. Of objects with the
+    same uid the one of greatest rid counts. A unique value goes on finding the record that it
+    found. With ``idxs`` only those indexes are applied to known objects, and metadata only
+    with ``update_metadata``; new objects get everything.
     """
-    new = ingest(objects, catalog.spec)
-    held = catalog.rows
+    new, held = _resolved(catalog, objects), catalog.rows
     if idxs is None and update_metadata:
         # All of a known record is replaced but its rid.
-        ids = held.select(F.col("uid").alias("__uid"), F.col("rid").alias("__rid"))
-        fresh = new.join(ids, F.col("uid") == F.col("__uid"), "left").withColumn("rid", F.coalesce("__rid", "rid")).select(*held.columns)
         kept = held.join(new.select("uid"), "uid", "left_anti").select(*held.columns)
-        return catalog.with_rows(kept.unionByName(fresh))
+        return _settled(catalog, kept.unionByName(new))
     wanted = set(catalog.spec.indexes if idxs is None else idxs)
     changed = {c for name in wanted for c in catalog.stored_columns(name)}
     if update_metadata:
@@ -38,7 +75,7 @@ def upsert(catalog: Catalog, objects: DataFrame, idxs: Iterable[str] | None = No
     for c in held.columns[2:]:
         take = given & (F.lit(c in changed) | ~known)
         columns.append(F.when(take, F.col(f"n.`{c}`")).otherwise(F.col(f"h.`{c}`")).alias(c))
-    return catalog.with_rows(both.select(*columns))
+    return _settled(catalog, both.select(*columns))
 
 
 def delete(catalog: Catalog, uids: DataFrame | Iterable[str]) -> Catalog:

@@ -1,8 +1,8 @@
 """A stream of changed objects, applied batch by batch.
 
-Each micro-batch is upserted into a versioned table: version n is written before version
-n - 1 goes, so a batch that is run again after a failure starts from the same table and
-gives the same result.
+Each micro-batch is upserted into a versioned table. When version n is complete, those before
+n - 1 go; the one before stays, so a batch that is run again after a failure starts from the
+same table and gives the same result.
 """
 
 from __future__ import annotations
@@ -30,15 +30,16 @@ class CatalogSink:
 
     def current(self, spark, before: int | None = None) -> Catalog | None:
         """The newest complete version, older than batch ``before``."""
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-        if not fs.exists(hadoop):
-            return None
-        done = [s.getPath().getName() for s in fs.listStatus(hadoop)]
-        done = [int(n[2:]) for n in done if n.startswith("v=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
-        done = [n for n in done if before is None or n < before]
+        done = [n for n in self._complete(spark)[1] if before is None or n < before]
         return Catalog(spark.read.parquet(self.version(max(done))), self.spec) if done else None
 
+    def _complete(self, spark):
+        """The table's file system and its complete versions."""
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        fs = path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(path(self.path))] if fs.exists(path(self.path)) else []
+        return fs, sorted(int(n[2:]) for n in names if n.startswith("v=") and fs.exists(path(f"{self.path}/{n}/_SUCCESS")))
+
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         if self.order:
@@ -52,3 +53,6 @@ class CatalogSink:
             gone = Catalog.of(batch.where(F.col(self.deleted)), self.spec).rows.select("uid")
             new = maintenance.delete(new, gone)
         new.rows.write.mode("overwrite").parquet(self.version(batch_id))
+        fs, done = self._complete(spark)
+        for n in [n for n in done if n < batch_id][:-1]:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(self.version(n)), True)

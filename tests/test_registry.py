@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 DIR = entry.SMOKE_DIR
 #: One query of each sort; the driver runs them all.
-CHOSEN = "field_eq not_pure keyword_range_and bool_null_is_false date_precision daterange_stab path_any_run topic_and uuid_duplicate composite_keyword text_phrase cosine_or norm_score sort_two_mixed batch_negative uniq_daterange merge_scored upsert_some_indexes lookup_uid find_and_apply".split()
+CHOSEN = "field_eq not_pure keyword_range_and bool_null_is_false date_precision daterange_stab path_any_run topic_and uuid_duplicate composite_keyword text_phrase cosine_or norm_score sort_two_mixed batch_negative uniq_daterange merge_scored upsert_some_indexes upsert_repeated_uids upsert_ids_are_unique uuid_after_upsert value_to_rids postings_table limit batch_unsorted lookup_uid find_and_apply".split()
 
 
 def rows(table, names):
@@ -40,7 +40,7 @@ def test_every_sql_belongs_to_a_query():
 
 
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no test data")
-@pytest.mark.parametrize("name, least", [("sort_one_whole", 501), ("sort_reverse_whole", 501), ("merge_sorted_whole", 41)])
+@pytest.mark.parametrize("name, least", [("sort_one", 501), ("sort_reverse", 501), ("merge_sorted", 41), ("merge_scored", 2)])
 def test_whole_sorts_against_sql(spark, name, least):
     con = duckdb.connect()
     for t in TABLES:
