@@ -222,7 +222,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     once = found.where(F.size("seen") > 0).groupBy("mark").agg(F.first("seen").alias("seen"))
     once = once.select("mark", F.explode("seen").alias("s")).select("mark", "s.start", "s.kind", "s.end", "s.instance", F.explode_outer("s.pattern").alias("pattern"))
     once = materialise(once, "pii-seen")
-    edges = materialise(once.where("pattern is not null").groupBy("pattern", "instance", F.least("kind", F.lit(last)).alias("kind")).agg(F.count(F.lit(1)).alias("n")), "pii-edges")
+    edges = materialise(once.where("pattern is not null").groupBy("pattern", "instance", F.when(F.col("kind") > last, last).otherwise(F.col("kind")).alias("kind")).agg(F.count(F.lit(1)).alias("n")), "pii-edges")
     patterns, instances = scored(edges)
     sure = instances.where(F.col("trust") >= INSTANCE_SCORE).select("instance", F.lit(True).alias("sure"))
     new = once.where(f"kind is null or kind > {last}").join(patterns.select("pattern"), "pattern", "left_semi")
