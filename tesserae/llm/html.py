@@ -15,12 +15,13 @@ from __future__ import annotations
 import html as entities
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import BROADCAST_ROWS, materialise, narrowed
+from tesserae.llm.common import materialise, narrowed
 
 #: A subtree is template if it stands on this many distinct pages of its host, however many the host has.
 PAGES = 5
@@ -37,11 +38,20 @@ ENDS = {
     "p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"},
     "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option"},
 }
-#: Words of class, id and role that mark what isn't article text.
+#: Words of class, id and role that mark what isn't article text, and words that may stand beside these in one name.
 MARKS = frozenset("""ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments consent
 cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination
 paywall popup promo promoted promotion recommended related reply replies respond share sharing sidebar signup skip social sponsor
 sponsored subscribe subscription toolbar topbar widget complementary contentinfo search""".split())
+BESIDE = frozenset("""area bar block body bottom box btn button buttons center col column container content entry feed form global group header holder icon icons
+inner item items label left link links list main message middle panel page post posts primary right row secondary section site slot small large
+story stories tags text title top unit wrap wrapper article articles news h v s m l xs""".split())
+#: Elements that hold others. Only of these an id is evidence.
+HOLDS = frozenset("div section aside ul ol dl table form span header footer nav details figure iframe p".split()) - {"p"}
+#: An explicit article is the page's if it has this share of the text outside of it at least.
+EXPLICIT = 0.5
+#: Templates up to which their keys (8 bytes each) are sent to all tasks; with more the pages are shuffled.
+SENT = 4_000_000
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 _LAX = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
@@ -68,10 +78,12 @@ def _dropped(tag: str, attributes: str, in_root: bool) -> bool:
         if name == "style":
             if "display:none" in value.replace(" ", ""):
                 return True
-        else:
-            words = set(_WORD.findall(value))
-            if words & MARKS or "header" in words and not in_root:
-                return True
+        elif name != "id" or tag in HOLDS:
+            for token in value.split():
+                words = _WORD.findall(token)
+                # A name marks its element by all of its words: share-buttons does, share-prices doesn't.
+                if any(w in MARKS for w in words) and all(w in MARKS or w in BESIDE or w.isdigit() for w in words) or "header" in words and not in_root:
+                    return True
     return False
 
 
@@ -161,7 +173,7 @@ def parse(page: str) -> list[tuple[str, list[int], bool]]:
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
             at = n if end is None else (page.find(">", end.start()) + 1 or n)
             continue
-        if tag == "br" or tag == "img":
+        if tag == "br":
             (lost if dropping else buffer).append(" ")
             continue
         if tag in BLOCK:
@@ -176,7 +188,7 @@ def parse(page: str) -> list[tuple[str, list[int], bool]]:
                     break
         if tag in VOID:
             continue
-        if attributes.endswith("/") and tag in ("svg", "path"):
+        if attributes.endswith("/") and (tag in DROPPED or tag == "path"):
             continue
         root = tag in ("article", "main") or 'role="main"' in attributes
         drop = not dropping and _dropped(tag, attributes, roots > 0)
@@ -187,7 +199,9 @@ def parse(page: str) -> list[tuple[str, list[int], bool]]:
     flush()
     while stack:
         close()
-    explicit = any(inside and not out for _, _, inside, out in blocks)
+    size = lambda within: sum(len(text) for text, _, inside, out in blocks if inside == within and not out)
+    # A teaser isn't the page's article: what stands beside it is more.
+    explicit = size(True) > 0 and size(True) >= EXPLICIT * size(False)
     return [
         (text, [e.hash for e in around if out or not (inside and (e.prose or e.root))], out or explicit and not inside)
         for text, around, inside, out in blocks]
@@ -234,9 +248,9 @@ def extract(pages: DataFrame, recur: int = PAGES, id_col: str = "page_id", url_c
     template = seen.groupBy("key", "page").agg(F.count(F.lit(1))).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     template = materialise(template.where(F.col("n") >= recur).select("key"), "template")
     held = None
-    # Few templates are sent to all tasks, after they have been counted; with more the pages are shuffled.
-    if template.count() <= BROADCAST_ROWS:
-        held = spark.sparkContext.broadcast(frozenset(r.key for r in template.collect()))
+    # Counted first: at most 32 MB go to the driver and all tasks.
+    if template.count() <= SENT:
+        held = spark.sparkContext.broadcast(np.sort(template.toArrow().column(0).to_numpy()))
         rows = rows.withColumn("delete", F.lit(None).cast("array<long>"))
     else:
         delete = seen.select("mark", "key").join(template, "key").groupBy(F.col("mark").alias("m")).agg(F.collect_set("key").alias("delete"))
@@ -246,8 +260,14 @@ def extract(pages: DataFrame, recur: int = PAGES, id_col: str = "page_id", url_c
         for batch in batches:
             out, stay, gone = [], [], []
             for host, value, delete in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-                delete = held.value if held else frozenset(delete or ())
-                blocks = [(text, left_out, not delete.isdisjoint(around)) for text, around, left_out in _keyed(host, value or "")]
+                found = _keyed(host, value or "")
+                if held:
+                    own = np.array(sorted({k for _, around, _ in found for k in around}), np.int64)
+                    known = held.value
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    delete = own[known[at] == own].tolist() if len(known) else ()
+                delete = frozenset(delete or ())
+                blocks = [(text, left_out, not delete.isdisjoint(around)) for text, around, left_out in found]
                 kept = [text for text, left_out, recurs in blocks if not left_out and not recurs]
                 out.append("\n".join(kept))
                 stay.append(len(kept))

@@ -4,9 +4,9 @@ Documents become token pieces of at most ``capacity`` ids. Only the number of pi
 of each length (at most ``capacity`` numbers, whatever the corpus holds) decides the
 plan, so the plan is made on the driver:
 
-1. sums of one, two and three lengths are indexed; going down from the longest
-   length, whatever exactly fills the gap is used up in bulk, under the numbers of
-   pieces that are still there;
+1. sums of one, two and three lengths are kept in hash tables, under the numbers of pieces
+   that are still there; going down from the longest length, what exactly fills the gap is
+   looked up and used up in bulk;
 2. the rest is packed best-fit decreasing, in bulk as well.
 
 A plan is a list of bin contents with a number of copies. Each piece finds its place
@@ -65,6 +65,69 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     return rows.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(pieces, PIECES)
 
 
+class Sums:
+    """Hash tables from a sum to the pairs and triples of lengths that make it, under ``left[length]`` pieces.
+
+    A pair is kept as its smaller length, a triple as its longest; what remains is a pair.
+    ``left`` only falls, so an entry whose lengths have run out is passed over for good.
+    """
+
+    def __init__(self, left: np.ndarray, capacity: int):
+        self.left = left
+        there = np.flatnonzero(left)
+        small, big = (x[np.triu_indices(len(there))] for x in np.meshgrid(there, there, indexing="ij"))
+        self.pairs = self._table(small + big, small, capacity)
+        sums = np.array(sorted(self.pairs), np.int64)
+        rest, longest = (x.ravel() for x in np.meshgrid(sums, there, indexing="ij"))
+        some = 2 * longest >= rest
+        self.triples = self._table((rest + longest)[some], -longest[some], capacity)
+        self.passed: dict[tuple[int, int], int] = defaultdict(int)
+
+    @staticmethod
+    def _table(sums: np.ndarray, values: np.ndarray, capacity: int) -> dict[int, list[int]]:
+        """sum -> its values, ascending."""
+        use = sums <= capacity
+        sums, values = sums[use], values[use]
+        order = np.lexsort((values, sums))
+        sums, values = sums[order], values[order]
+        starts = np.flatnonzero(np.diff(sums, prepend=-1))
+        return {int(s): v.tolist() for s, v in zip(sums[starts], np.split(values, starts[1:]), strict=True)} if len(starts) else {}
+
+    def _fits(self, *lengths: int) -> bool:
+        return all(self.left[x] >= lengths.count(x) for x in lengths)
+
+    def _pair(self, total: int, *others: int, most: int) -> tuple[int, int] | None:
+        """The most unequal two lengths of that sum, none above ``most``, that are there beside the others."""
+        held, key = self.pairs.get(total, ()), (2, total)
+        for i in range(self.passed[key], len(held)):
+            small = held[i]
+            if not self._fits(total - small, small):
+                self.passed[key] += i == self.passed[key]
+            elif total - small <= most and self._fits(total - small, small, *others):
+                return total - small, small
+        return None
+
+    def fill(self, gap: int, length: int) -> tuple[int, ...] | None:
+        """The fewest lengths, three at most, that fill ``gap`` beside a piece of ``length``."""
+        if gap == 0:
+            return ()
+        if self._fits(gap, length):
+            return (gap,)
+        found = self._pair(gap, length, most=gap)
+        if found:
+            return found
+        held, key = self.triples.get(gap, ()), (3, gap)
+        for i in range(self.passed[key], len(held)):
+            longest = -held[i]
+            if not self.left[longest]:
+                self.passed[key] += i == self.passed[key]
+            elif self._fits(longest, length):
+                found = self._pair(gap - longest, longest, length, most=longest)
+                if found:
+                    return (longest, *found)
+        return None
+
+
 def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """Bins for ``counts[length]`` pieces of each length: [(lengths in a bin, copies)].
 
@@ -76,50 +139,19 @@ def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tu
             raise ValueError(f"length {length} is not in 1..{capacity}")
         left[length] += n
     bins: list[tuple[tuple[int, ...], int]] = []
-
-    def use(lengths: tuple[int, ...]) -> None:
-        need = defaultdict(int)
-        for x in lengths:
-            need[x] += 1
-        copies = min(int(left[x]) // n for x, n in need.items())
-        for x, n in need.items():
-            left[x] -= n * copies
-        bins.append((lengths, copies))
-
-    def pair(gap: int, low: int = 1):
-        """The most unequal two lengths of sum ``gap``; both at least ``low``."""
-        small = np.arange(low, gap // 2 + 1)
-        if not len(small):
-            return None
-        big = gap - small
-        ok = (left[small] > 0) & (left[big] > 0) & ((small != big) | (left[small] > 1))
-        at = np.flatnonzero(ok)
-        return (int(big[at[0]]), int(small[at[0]])) if len(at) else None
-
-    def triple(gap: int):
-        for big in range(min(gap - 2, capacity), (gap + 2) // 3 - 1, -1):
-            if left[big] > 0:
-                left[big] -= 1
-                found = pair(gap - big)
-                left[big] += 1
-                if found and found[0] <= big:
-                    return (big, *found)
-        return None
-
+    sums = Sums(left, capacity)
     for length in range(capacity, 0, -1):
         while left[length] > 0:
-            gap = capacity - length
-            left[length] -= 1
-            if gap == 0:
-                found: tuple[int, ...] | None = ()
-            elif left[gap] > 0:
-                found = (gap,)
-            else:
-                found = pair(gap) or triple(gap)
-            left[length] += 1
+            found = sums.fill(capacity - length, length)
             if found is None:
                 break
-            use((length, *found))
+            need = defaultdict(int)
+            for x in (length, *found):
+                need[x] += 1
+            copies = min(int(left[x]) // n for x, n in need.items())
+            for x, n in need.items():
+                left[x] -= n * copies
+            bins.append(((length, *found), copies))
 
     open_bins: dict[int, list[list]] = defaultdict(list)
     for length in range(capacity, 0, -1):

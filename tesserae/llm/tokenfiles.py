@@ -51,6 +51,8 @@ def block_boundaries(ids: np.ndarray, end_id: int) -> tuple[np.ndarray, int]:
 def scan_token_files(spark: SparkSession, path: str, end_id: int = END_ID, block: int = BLOCK) -> DataFrame:
     """Documents of the flat token files under ``path``: (file, ordinal, start, n_tokens).
 
+    ``file`` is the file's name; of files that Spark wrote its part's, without the random rest.
+
     ``start`` counts ids from the file's begin, ``n_tokens`` leaves the separator out;
     adjacent separators enclose a document of 0 tokens. Ids after a file's last separator
     make a last document if there are any. Empty files have none. A file of an odd number of bytes
@@ -75,7 +77,7 @@ def scan_token_files(spark: SparkSession, path: str, end_id: int = END_ID, block
                         names=["file", "block", "at", "tail", "last", "after"])
 
     files = spark.read.format("binaryFile").load(path).where("length > 0")
-    files = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+    files = files.select(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"^(part-[0-9]+)-.*$", "$1").alias("file"), "content")
     blocks = files.mapInArrow(search, "file string, block long, at long, tail long, last boolean, after array<int>")
     # The scan: how many documents ended before a block, and where the one that is open there began.
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

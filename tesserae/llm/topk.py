@@ -30,14 +30,11 @@ def _packed(batches):
     """Sorted (block, id, ints) -> a row a block: (block, ids, ints, dim)."""
 
     def row(block, ids, vectors):
-        first = {}
-        for i, v in zip(ids, vectors, strict=True):
-            first.setdefault(i, v)
-        dim = max(map(len, first.values()))
-        ints = np.zeros((len(first), dim), np.int64)
-        for n, v in enumerate(first.values()):
+        dim = max(map(len, vectors))
+        ints = np.zeros((len(vectors), dim), np.int64)
+        for n, v in enumerate(vectors):
             ints[n, : len(v)] = v
-        return {"block": block, "ids": np.array(list(first), np.int64).tobytes(), "ints": ints.tobytes(), "dim": dim}
+        return {"block": block, "ids": np.array(ids, np.int64).tobytes(), "ints": ints.tobytes(), "dim": dim}
 
     schema = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("ints", pa.binary()), ("dim", pa.int32())])
     now, ids, vectors = None, [], []
@@ -141,8 +138,8 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0,
     Components become floor(scale * x); scores are integer inner products, ties go to
     the smaller vec_id. Queries are the rows whose id is divisible by ``every``, candidates
     all rows but the query's own. Vectors that are null or hold null or non-finite components, and
-    rows without an id, take no part. Of repeated ids the smallest vector counts. Vectors
-    of different lengths are compared as if zeros followed the shorter. An empty table
+    rows without an id, take no part. Every row of a repeated id is a candidate, for other ids'
+    queries; as a query the smallest vector counts. Vectors of different lengths are compared as if zeros followed the shorter. An empty table
     gives no rows. Components must be below 2**57 / scale so that integers hold them.
     """
     x = F.transform(vectors[vector_col], lambda v: v.cast("double"))
@@ -157,7 +154,8 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0,
         return materialise(rows.repartition(count, "block").sortWithinPartitions("block", "id", "ints").mapInArrow(_packed, "block long, ids binary, ints binary, dim int"), tag)
 
     candidates = packed(rows, blocks, "candidates").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    queries = packed(rows.where(F.col("id") % every == 0), parts, "queries").toDF("part", "q_ids", "q_ints", "q_dim")
+    asked = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("ints").alias("ints"))
+    queries = packed(asked, parts, "queries").toDF("part", "q_ids", "q_ints", "q_dim")
     # A query block meets each candidate block once, in whatever task.
     met = candidates.join(queries, "part").repartition(blocks * parts, "block", "part").sortWithinPartitions("block")
     found = met.mapInArrow(_searched(k), "query_id long, vec_id long, score long")

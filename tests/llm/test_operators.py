@@ -1,6 +1,7 @@
 """The operators against brute force, and their edge cases, on small fixtures."""
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -88,7 +89,10 @@ PAGE = """<!DOCTYPE html><html><head><title>{t}</title><style>p{{}}</style><scri
     ("<article><h1>A &amp; B</h1><p>one\n  two<br>three</p><p>x &lt; y</p></article>", "A & B\none two three\nx < y"), ("<article><p>a<p>b<ul><li>c<li>d</ul></article>", "a\nb\nc\nd"),
     ("<main><header><h1>T</h1></header><p>a <b>b</b>c</p><form><p>no</p></form></main>", "T\na bc"), ("<article><p>a</p><!-- <p>no</p> --><div class='share'>no</div><p title='x > y'>b</p></article>", "a\nb"),
     ("<p>only</p><div><p>body</p></div>", "only\nbody"), ("<article></article>", ""), ("<article><p><b>bold<p>next</article>", "bold\nnext"), ("<article><p>a &nbsp; b</p><p>1 < 2</p></article>", "a b\n1 < 2"),
-    ("<article><p>t</p><noscript>no</noscript><article class='comment'><p>no</p></article></article>", "t"), ('<article><p class="x>a</p><p>b</p></article>', None)])
+    ("<article><p>t</p><noscript>no</noscript><article class='comment'><p>no</p></article></article>", "t"), ('<article><p class="x>a</p><p>b</p></article>', 'a\nb'),
+    ("<article><h1>T</h1><h2 id='related-work'>Related work</h2><p>body one</p></article>", "T\nRelated work\nbody one"), ("<article><section id='share-prices'><p>prices fell</p></section><div class='share-buttons'>no</div></article>", "prices fell"),
+    ("<article><h2 id='notice-and-comment'>Rules</h2><p>x</p></article>", "Rules\nx"), ("<article><p>foo<img src=x>bar</p></article>", "foobar"), ("<article><p>a</p><object/><p>b</p></article>", "a\nb"),
+    ("<article>teaser</article><div><p>A long body stands beside it, and is what the page is about.</p></div>", "teaser\nA long body stands beside it, and is what the page is about.")])
 def test_html_cases(spark, body, want):
     got = collected(html.extract(spark.createDataFrame([(1, "http://h/x", PAGE.format(t="T", body=body))], "page_id long, url string, html string")))[0]
     if want is not None:
@@ -113,9 +117,9 @@ def test_html_counts_menus(spark):
     assert out[102]["text"] == "own 2\nRead this too" and out[102]["n_template"] == 0
 
 
-@pytest.mark.parametrize("limit", [200_000, 0])
+@pytest.mark.parametrize("limit", [4_000_000, 0])
 def test_html_template_of_any_host(spark, monkeypatch, limit):
-    monkeypatch.setattr(html, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(html, "SENT", limit)
     page = "<html><title>{t}</title><body><p>text {i}</p>{more}</body></html>"
     rows = [(i, "http://large.example/", page.format(t=f"t{i}", i=i, more=f"<div>Section {i % 40}</div>")) for i in range(200)]
     rows += [(1000 + i, "http://one.example/", page.format(t="The site", i=i, more="<div>Welcome</div>")) for i in range(8)]
@@ -124,6 +128,30 @@ def test_html_template_of_any_host(spark, monkeypatch, limit):
     assert all(out[i] == f"text {i}" for i in range(200)) and all(out[1000 + i] == f"text {i}" for i in range(8)) and out[2003] == "text 0"
 
 
+def test_html_long_deep_and_repeated_pages(spark):
+    body = "".join(f"<div><p>line {i}</p>" for i in range(300)) + "</div>" * 300
+    long = "<p>" + prose(200_000, 1) + "</p>"
+    rows = [(1, "http://a/", body), (2, "http://b/", long), (2, "http://b/", long), (3, "http://c/", "<div>" * 1000 + "x"), (None, None, "<p>y")]
+    out = collected(html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")))
+    got = {r["page_id"]: r["text"] for r in out}
+    assert len(out) == 5 and got[1] == "\n".join(f"line {i}" for i in range(300)) and got[2] == prose(200_000, 1) and got[3] == "x" and got[None] == "y"
+
+
+def test_html_deletes_what_recurs_by_brute_force(spark):
+    r = np.random.default_rng(4)
+    boxes = [f"<div><b>Box {i}</b></div>" for i in range(30)]
+    pages = []
+    for i in range(120):
+        own = [int(x) for x in np.flatnonzero(r.random(30) < (0.02 if i % 2 else 0.06))]
+        pages.append((i, f"http://h{i % 3}.example/{i}", own))
+    rows = [(i, url, f"<body><p>own {i}</p>" + "".join(boxes[b] for b in own) + "</body>") for i, url, own in pages]
+    on = Counter((url.split("/")[2], b) for _, url, own in pages for b in own)
+    out = {x["page_id"]: x["text"] for x in collected(html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")))}
+    assert {1 for n in on.values() if n >= html.PAGES} and {1 for n in on.values() if n < html.PAGES}
+    for i, url, own in pages:
+        assert out[i] == "\n".join([f"own {i}", *(f"Box {b}" for b in own if on[url.split("/")[2], b] < html.PAGES)])
+
+
 def test_html_empty(spark):
     assert collected(html.extract(spark.createDataFrame([], "page_id long, url string, html string"))) == []
 
@@ -337,6 +365,8 @@ def test_top_k(spark, monkeypatch, block, queries):
 def test_top_k_small(spark):
     rows = spark.createDataFrame([(0, [1.0]), (0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(rows).collect()] == [(0, 1, 1, 64 * 128)]
+    again = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (1, [3.0]), (2, [1.0])], "vec_id long, embedding array<float>")
+    assert [tuple(r) for r in topk.top_k(again).collect()] == [(0, 1, 1, 64 * 192), (0, 2, 1, 64 * 128), (0, 3, 2, 64 * 64)]
     assert topk.top_k(rows.limit(0)).collect() == []
 
 
@@ -597,6 +627,21 @@ def test_plan(seed):
     assert used == counts and sum(c for _, c in bins) <= 1.01 * total / capacity + 2
 
 
+def test_sums_give_what_fills_a_gap():
+    r = np.random.default_rng(2)
+    for _ in range(60):
+        capacity = int(r.integers(6, 40))
+        left = np.where(r.random(capacity + 1) < 0.4, r.integers(0, 3, capacity + 1), 0)
+        left[0] = 0
+        sums = packing.Sums(left, capacity)
+        for length in np.flatnonzero(left).tolist():
+            gap, held = capacity - length, Counter({i: int(n) for i, n in enumerate(left)}) - Counter([length])
+            parts = [x for x, n in held.items() for _ in range(min(n, 3))]
+            best = next((k for k in range(4) if any(sum(c) == gap for c in itertools.combinations(parts, k))), None)
+            found = sums.fill(gap, length)
+            assert (found is None) == (best is None) and (found is None or len(found) == best and sum(found) == gap and not Counter(found) - held)
+
+
 def test_tokens_are_the_tokenizers_own():
     from tokenizers import Tokenizer
 
