@@ -16,7 +16,7 @@ import string
 from tesserae.llm.common import claim, holds
 
 #: Words of a generation; a worker keeps those of two, so memory stays bounded.
-MAX_WORDS = 300_000
+MAX_WORDS = 250_000
 _SIGNS = string.punctuation.encode()
 _LATIN = re.compile("[a-zß-öø-ÿ]+")
 #: Byte-level BPE writes bytes as characters: printable ones as themselves, the others as those from 256 on.
