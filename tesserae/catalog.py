@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tesserae.errors import CatalogError
 from tesserae.operators import facets, kinds, sorting
 from tesserae.operators.kinds import KINDS, Composite, Kind
-from tesserae.operators.textsearch import Text
+from tesserae.operators.textsearch import Inverted, Text
 from tesserae.plans import query as q
 from tesserae.plans.report import QueryReport
 from tesserae.plans.specs import CatalogSpec, column
@@ -53,8 +53,9 @@ class SearchResult:
 class Catalog:
     """``rows`` holds rid, uid, the indexes' stored columns (i__name) and metadata (m__name)."""
 
-    def __init__(self, rows: DataFrame, spec: CatalogSpec, report: QueryReport | None = None):
-        self.rows, self.spec = rows, spec
+    def __init__(self, rows: DataFrame, spec: CatalogSpec, report: QueryReport | None = None, inverted: Mapping[str, Inverted] | None = None):
+        """``inverted`` holds the stored text indexes of just these rows; a changed catalog has none until it is saved."""
+        self.rows, self.spec, self.inverted = rows, spec, dict(inverted or {})
         self.kinds: dict[str, Kind] = {name: KINDS[i.kind](i) for name, i in spec.indexes.items()}
         self.report = report or QueryReport()
 
@@ -102,7 +103,7 @@ class Catalog:
             used += 1
             own = kind.predicate(asked, self.rows)
             predicate = own if predicate is None else predicate & own
-        return predicate, [kind.matches(tree, self.rows, predicate) for kind, tree in trees], used
+        return predicate, [kind.matches(tree, self.rows, predicate, self.inverted.get(kind.spec.name)) for kind, tree in trees], used
 
     def _without_composites(self, request: Mapping) -> dict:
         """Queries on a composite index are queries on its components (Q1)."""

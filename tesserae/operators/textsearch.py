@@ -94,6 +94,18 @@ def glob_pattern(glob: str) -> tuple[str, str]:
     return prefix, f"^{body}$"
 
 
+@dataclass(frozen=True)
+class Inverted:
+    """A stored inverted index: postings (word, rid, f, length, weight, df, positions) sorted by word, and the corpus's size.
+
+    Files hold ranges of words, so a search reads the row groups of its words only.
+    """
+
+    postings: DataFrame
+    n: float
+    mean: float | None
+
+
 class Text(Kind):
     """A text index. Options: pipeline (Pipeline), scorer (a name in SCORERS or a scorer).
 
@@ -169,15 +181,17 @@ class Text(Kind):
 
     # -- search
 
-    def matches(self, tree: Node, rows: DataFrame, within: Column | None = None) -> DataFrame:
+    def matches(self, tree: Node, rows: DataFrame, within: Column | None = None, index: Inverted | None = None) -> DataFrame:
         """(rid, score) of the documents that a query tree selects, of those ``within`` if that is given.
 
-        Statistics are those of all documents.
+        Statistics are those of all documents. With ``index`` the documents' words aren't read.
         """
         leaves = _all_leaves(tree)
         phrases = [x for x in leaves if isinstance(x, Phrase)]
         simple = list(dict.fromkeys([x for x in leaves if not isinstance(x, Phrase)] + [Word(w) for p in phrases for w in p.words]))
-        if any(isinstance(x, Glob) for x in simple):
+        if index is not None:
+            documents = self._by_index(simple, phrases, rows, within, index)
+        elif any(isinstance(x, Glob) for x in simple):
             documents = self._by_postings(simple, phrases, rows, within)
         else:
             documents = self._in_place(simple, phrases, rows, within)
@@ -239,6 +253,36 @@ class Text(Kind):
         flags = [F.first(f"p{i}").alias(f"p{i}") for i in range(len(phrases))]
         return scored.groupBy("rid").agg(*sums, *flags)
 
+    def _by_index(self, simple: list[Word | Glob], phrases: list[Phrase], rows: DataFrame, within: Column | None, index: Inverted) -> DataFrame:
+        """The same from a stored index; phrases by the positions of their words."""
+        hits = index.postings.where(self._any_leaf(simple, F.col("word")))
+        if within is not None:
+            hits = hits.join(rows.where(within).select("rid"), "rid", "left_semi")
+        mean = F.lit(index.mean).cast("double")
+        hits = hits.withColumn("s", self.scorer.score(F.col("f").cast("double"), F.col("length").cast("double"), F.col("weight"), F.lit(index.n), mean, F.col("df").cast("double")))
+        sums = [F.sum(F.when(self._leaf_condition(leaf, F.col("word")), F.col("s"))).alias(f"s{i}") for i, leaf in enumerate(simple)]
+        spots = {w: f"at{i}" for i, w in enumerate(dict.fromkeys(w for p in phrases for w in p.words))}
+        found = hits.groupBy("rid").agg(*sums, *[F.max(F.when(F.col("word") == w, F.col("positions"))).alias(c) for w, c in spots.items()])
+        flags = [self._follow([F.col(spots[w]) for w in p.words]).alias(f"p{i}") for i, p in enumerate(phrases)]
+        return found.select("rid", *[f"s{i}" for i in range(len(simple))], *flags)
+
+    @staticmethod
+    def _follow(spots: list[Column]) -> Column:
+        """Whether words stand one after another somewhere; null if one doesn't stand there at all."""
+        starts = spots[0]
+        for i, later in enumerate(spots[1:], 1):
+            starts = F.array_intersect(starts, F.transform(later, _back(i)))
+        return F.size(starts) > 0
+
+    def inverted(self, rows: DataFrame) -> DataFrame:
+        """The postings of a stored index, dealt out by ranges of words."""
+        words = rows.where(self.indexed).select("rid", F.size(self.value).alias("length"), F.col(self.weight).alias("weight"), F.posexplode(self.value).alias("position", "word"))
+        each = words.groupBy("word", "rid", "length", "weight").agg(F.count(F.lit(1)).alias("f"), F.sort_array(F.collect_list("position")).alias("positions"))
+        df = rows.where(self.indexed).select(F.explode(F.array_distinct(self.value)).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+        out = each.join(df, F.col("word") == F.col("w")).drop("w")
+        # A word that all documents hold spans several ranges.
+        return out.repartitionByRange("word", "rid").sortWithinPartitions("word", "rid")
+
     def query_weight(self, tree: Node, rows: DataFrame) -> DataFrame:
         """One row, ``weight``: each occurrence of a word in the query counts."""
         words = parser.terms(tree)
@@ -263,6 +307,10 @@ class Text(Kind):
         return base.groupBy("word", "rid", "length", "weight").agg(F.count(F.lit(1)).alias("f"))
 
 
+def _back(by: int):
+    return lambda x: x - by
+
+
 def _plus(columns: list[Column]) -> Column:
     out = columns[0]
     for c in columns[1:]:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tesserae.catalog import Catalog, ingest
 from tesserae.functions.scalars import normalized_path
-from tesserae.operators.kinds import UUID
+from tesserae.operators.kinds import KINDS, UUID
+from tesserae.operators.textsearch import Inverted, Text
 
 #: Called with (stage, rows so far or None).
 Progress = Callable[[str, int | None], None]
@@ -144,13 +145,30 @@ def normalize_paths(catalog: Catalog, resolvable: DataFrame | None = None) -> Ca
 
 
 def save(catalog: Catalog, path: str, progress: Progress | None = None, **options) -> Catalog:
-    """Write the table as Parquet, sorted by uid within files, and go on from there."""
+    """Write the table as Parquet, sorted by uid within files, its text indexes beside it, and go on from there."""
     catalog.rows.sortWithinPartitions("uid").write.options(**options).mode("overwrite").parquet(path)
-    rows = catalog.rows.sparkSession.read.schema(catalog.rows.schema).parquet(path)
+    saved = catalog.with_rows(catalog.rows.sparkSession.read.schema(catalog.rows.schema).parquet(path))
     if progress:
-        progress("saved", rows.count())
-    return catalog.with_rows(rows)
+        progress("saved", saved.rows.count())
+    for name, kind in catalog.kinds.items():
+        if isinstance(kind, Text):
+            kind.inverted(saved.rows).write.options(**options).mode("overwrite").parquet(_text_path(path, name))
+            size = saved.rows.where(kind.indexed).agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.size(kind.value)).alias("mean"))
+            size.write.options(**options).mode("overwrite").parquet(_text_path(path, name) + "-size")
+            if progress:
+                progress(f"indexed {name}", None)
+    return load(catalog.rows.sparkSession, path, catalog.spec, catalog.report)
+
+
+def _text_path(path: str, name: str) -> str:
+    return f"{path.rstrip('/')}-text/{name}"
 
 
 def load(spark, path: str, spec, report=None) -> Catalog:
-    return Catalog(spark.read.parquet(path), spec, report)
+    """A saved catalog with its text indexes."""
+    inverted = {}
+    for name, index in spec.indexes.items():
+        if issubclass(KINDS[index.kind], Text):
+            size = spark.read.parquet(_text_path(path, name) + "-size").first()
+            inverted[name] = Inverted(spark.read.parquet(_text_path(path, name)), size.n, size["mean"])
+    return Catalog(spark.read.parquet(path), spec, report, inverted)

@@ -48,3 +48,30 @@ def test_whole_sorts_against_sql(spark, name, least):
     df = entry.queries()[name](spark, DIR)
     want = con.sql(entry.oracle_sql()[name]).fetchall()
     assert len(want) >= least and sorted(map(tuple, df.collect())) == sorted(want)
+
+
+@pytest.fixture(scope="module")
+def prepared(spark, tmp_path_factory):
+    from tesserae.plans import registry
+
+    registry.prepare(spark, DIR, str(tmp_path_factory.mktemp("stored")))
+    yield
+    registry._PREPARED.clear()
+
+
+#: What the benchmark runs: searches of stored catalogs, with their inverted indexes.
+STORED = "field_and_fields uuid_duplicate text_term text_and text_not text_or_dup text_phrase text_phrase_not text_oov_phrase text_glob text_glob_and text_nested text_html text_and_field text_topk text_batch cosine_or norm_score upsert".split()
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test data")
+@pytest.mark.parametrize("name", STORED)
+def test_stored_catalogs_against_sql(spark, prepared, name):
+    test_against_sql(spark, name)
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test data")
+def test_stored_index_prunes_by_word(spark, prepared):
+    from tesserae.plans import registry
+
+    plan = registry.documents(spark, DIR).search({"text": "the AND ening", "lang": "en"}).df._jdf.queryExecution().toString()
+    assert "In(word, [ening,the])" in plan and "words" not in plan.split("== Physical Plan ==")[1]
