@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -67,6 +68,15 @@ def test_quality_edges(docs, empty):
     assert collected(quality.classify(empty)) == []
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
+def test_quality_agrees_with_held_out_labels(spark):
+    """The labels take no part in the fit."""
+    rows, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    both = quality.classify(rows).join(labels.where("quality is not null and toxic = 0"), "doc_id").select("keep", "quality").collect()
+    good, bad = ([r.keep for r in both if r.quality == q] for q in (1, 0))
+    assert len(bad) > 20 and sum(good) >= 0.97 * len(good) and bad.count(False) >= 0.95 * len(bad), (sum(good), len(good), sum(bad), len(bad))
+
+
 def test_em_recovers_accuracies():
     r = np.random.default_rng(3)
     truth = r.random(20_000) < 0.7
@@ -306,6 +316,42 @@ def test_rare_languages(spark):
     assert all(out[i] == label for i, _, label in many)
 
 
+def test_posteriors_by_brute_force(spark):
+    r = np.random.default_rng(9)
+    vocab = {x: ["".join(np.random.default_rng(k).choice(list(a), 4)) for k in range(40)] for x, a in (("xx", "abcdefgh"), ("yy", "fghmnopq"), ("zz", "opqrstuv"))}
+    rows = []
+    for i in range(150):
+        x = ("xx", "yy", "zz")[int(r.integers(0, 3))]
+        text = " ".join(r.choice(vocab[x], int(r.integers(1, 6)))) if i % 10 else ["", "12 34", None][i // 10 % 3]
+        url = None if i % 7 == 0 else f"http://{'ab'[int(r.integers(0, 2))]}.site{int(r.integers(0, 3))}.{x if r.random() < 0.7 else 'com'}/p{i}"
+        rows.append((i, text, None if i % 4 == 0 else x if r.random() < 0.9 else "yy-QQ", url))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, url string")
+    names, table = langid.fit(frame, "text", "lang")
+    own = {}
+    for i, text, lang, url in rows:
+        data = (text or "").lower().encode()
+        letters, counts = sum(97 <= b < 123 for b in data), langid.trigram_counts(data)
+        logs = counts @ table / max(1, counts.sum()) * min(letters, langid.EFFECTIVE)
+        host = url.split("/")[2] if url else None
+        own[i] = (logs, int(np.argmax(logs)) if letters >= langid.LETTERS else None, lang and lang.split("-")[0], host and host.split(".")[-1], host and ".".join(host.split(".")[-2:]), host)
+    tally = lambda k: {v: np.bincount([o[1] for o in own.values() if o[k] == v and o[1] is not None], minlength=len(names)) for v in {o[k] for o in own.values()} if v and any(o[k] == v and o[1] is not None for o in own.values())}
+    seen = np.bincount([o[1] for o in own.values() if o[1] is not None], minlength=len(names))
+    prior = (seen + 1) / (seen.sum() + len(names))
+    declared, suffix, domain, hosts = map(tally, (2, 3, 4, 5))
+    shrunk = lambda c, up: (c + langid.STRENGTH * up) / (c.sum() + langid.STRENGTH)
+    out = {x["doc_id"]: x for x in collected(langid.identify(frame, url_col="url"))}
+    for i, (logs, best, said, end, site, host) in own.items():
+        if best is None:
+            assert out[i]["lang"] == "und" and out[i]["posterior"] == 0
+            continue
+        score = logs + np.log(shrunk(hosts[host], shrunk(domain[site], prior)) if host in hosts else prior)
+        for known, value in ((declared, said), (suffix, end)):
+            if value in known:
+                score = score + np.log((known[value] + 1) / (sum(known.values()) + len(known) + 1))
+        share = np.exp(score - score.max())
+        assert out[i]["lang"] == names[int(np.argmax(score))] and out[i]["posterior"] == pytest.approx(1 / share.sum(), rel=1e-6)
+
+
 def test_page_languages(spark):
     vocab = {x: ["".join(np.random.default_rng(k).choice(list(s), 5)) for k in range(60)] for x, s in (("xx", "abcdefg"), ("yy", "mnopqrs"))}
     page = lambda x, t: f"<!-- <html lang='no'> --><html class=a lang={x}><body><nav>mmm nnn</nav><p>{t}</p></body></html>"
