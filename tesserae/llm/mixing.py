@@ -4,9 +4,10 @@ Every document gets an exponential key ``-ln(u) / quality``, with u from a hash
 id, so keys are the same on every run. In each source, whole epochs come first; the
 rest of the token budget goes to the documents of smallest key.
 
-No task ever sorts a whole source: keys fall into ``BUCKETS`` ranges, whose word
-counts are summed before the shuffle; prefix sums over those show in which range a
-source's budget ends, and only that range's documents are sorted. What a source
+No task ever sorts a whole source: keys fall into ranges, ``RANGES`` for each doubling,
+whose word counts are summed before the shuffle; prefix sums over those show in which
+range a source's budget ends, and only that range's documents are sorted. Ranges grow with
+the keys, so none holds more than a thousandth of the documents of one weight, whatever the weight. What a source
 decides is one row, (epochs, the key at which it stops), to which its documents are
 compared. DataFrame operations only.
 """
@@ -22,8 +23,8 @@ from tesserae.llm.common import WORD, materialise, narrowed
 WEIGHTS = (5, 2, 1)
 #: No source, and so no document, is taken more often than this.
 MAX_EPOCHS = 3
-#: Ranges of keys per source.
-BUCKETS = 1024
+#: Ranges of keys per doubling; a source's keys span some 60 doublings at most.
+RANGES = 256
 #: Up to this many sources, their decisions (about 100 bytes each) are broadcast.
 BROADCAST_SOURCES = 50_000
 #: Hexadecimal digits of the id's MD5 that make u.
@@ -50,7 +51,7 @@ def keyed(id_: Column, weight: Column, seed: int) -> Column:
 
 
 def bucket(key: Column) -> Column:
-    return F.least(F.lit(BUCKETS - 1), F.floor((1 - F.exp(-key)) * BUCKETS)).cast("int")
+    return F.floor(F.log2(key) * RANGES).cast("int")
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MAX_EPOCHS) -> DataFrame:

@@ -457,6 +457,16 @@ def test_mixing(spark, seed):
     assert all(made[x["doc_id"]] == x["taken"] for x in out)
 
 
+@pytest.mark.parametrize("weight", [1.0, 0.25, 1 / 16])
+def test_no_range_of_keys_is_hot(spark, weight):
+    n = 200_000
+    keys = spark.range(n).select(mixing.keyed(F.col("id"), F.lit(weight), 7).alias("key"))
+    ranges = keys.groupBy(mixing.bucket(F.col("key")).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.max("key").alias("high"))
+    found = ranges.orderBy("b").collect()
+    assert max(r["n"] for r in found) < 0.002 * n
+    assert all(a["high"] < b["low"] for a, b in zip(found, found[1:]))
+
+
 def test_mixing_edges(docs, empty):
     out = collected(mixing.mix(docs))
     assert len(out) == len(documents()) and all(r["size"] == 0 == r["taken"] for r in out if r["doc_id"] in (300, 301, 302))
