@@ -68,31 +68,31 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
 class Sums:
     """Hash tables from a sum to the pairs and triples of lengths that make it, under ``left[length]`` pieces.
 
-    A pair is kept as its smaller length, a triple as its longest; what remains is a pair.
-    ``left`` only falls, so an entry whose lengths have run out is passed over for good.
+    A pair is kept as its smaller length, ascending, a triple as its longest, descending; what
+    remains is a pair. ``left`` only falls, so an entry whose lengths have run out is passed over
+    for good. The tables are arrays: some 8 MB at a capacity of 2048.
     """
 
     def __init__(self, left: np.ndarray, capacity: int):
         self.left = left
-        there = np.flatnonzero(left)
-        small, big = (x[np.triu_indices(len(there))] for x in np.meshgrid(there, there, indexing="ij"))
-        self.pairs = self._table(small + big, small, capacity)
-        sums = np.array(sorted(self.pairs), np.int64)
-        rest, longest = (x.ravel() for x in np.meshgrid(sums, there, indexing="ij"))
-        some = 2 * longest >= rest
-        self.triples = self._table((rest + longest)[some], -longest[some], capacity)
+        there = left > 0
+        lengths = np.flatnonzero(there)
+        self.pairs: dict[int, np.ndarray] = {}
+        self.triples: dict[int, np.ndarray] = {}
+        paired = np.zeros(capacity + 1, bool)
+        for total in range(2, capacity + 1):
+            small = lengths[: np.searchsorted(lengths, total // 2, "right")]
+            small = small[there[total - small]]
+            if len(small):
+                self.pairs[total], paired[total] = small.astype(np.int32), True
+        for total in range(3, capacity + 1):
+            # The longest of three is a third of their sum at least.
+            longest = lengths[np.searchsorted(lengths, -(-total // 3)) : np.searchsorted(lengths, total - 2, "right")]
+            longest = longest[paired[total - longest]]
+            if len(longest):
+                self.triples[total] = longest[::-1].astype(np.int32)
         self.passed: dict[tuple[int, int], int] = defaultdict(int)
 
-    @staticmethod
-    def _table(sums: np.ndarray, values: np.ndarray, capacity: int) -> dict[int, list[int]]:
-        """sum -> its values, ascending."""
-        use = sums <= capacity
-        sums, values = sums[use], values[use]
-        order = np.lexsort((values, sums))
-        sums, values = sums[order], values[order]
-        starts = np.flatnonzero(np.diff(sums, prepend=-1))
-        return {int(s): v.tolist() for s, v in zip(sums[starts], np.split(values, starts[1:]), strict=True)} if len(starts) else {}
-
     def _fits(self, *lengths: int) -> bool:
         return all(self.left[x] >= lengths.count(x) for x in lengths)
 
@@ -100,7 +100,7 @@ class Sums:
         """The most unequal two lengths of that sum, none above ``most``, that are there beside the others."""
         held, key = self.pairs.get(total, ()), (2, total)
         for i in range(self.passed[key], len(held)):
-            small = held[i]
+            small = int(held[i])
             if not self._fits(total - small, small):
                 self.passed[key] += i == self.passed[key]
             elif total - small <= most and self._fits(total - small, small, *others):
@@ -118,7 +118,7 @@ class Sums:
             return found
         held, key = self.triples.get(gap, ()), (3, gap)
         for i in range(self.passed[key], len(held)):
-            longest = -held[i]
+            longest = int(held[i])
             if not self.left[longest]:
                 self.passed[key] += i == self.passed[key]
             elif self._fits(longest, length):
@@ -210,16 +210,11 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     pieces = materialise(token_pieces(docs, tokenizer, capacity, end_id, id_col, text_col).withColumn("salt", salt), "pieces")
 
     # At most capacity * salts rows, whatever the corpus holds.
-    counted = pieces.groupBy("length", "salt").count().collect()
-    by_length: dict[int, int] = defaultdict(int)
-    before: dict[tuple[int, int], int] = {}
-    for length, part, n in sorted((r[0], r[1], r[2]) for r in counted):
-        before[length, part] = by_length[length]
-        by_length[length] += n
-    rows = placements(plan_bins(by_length, capacity))
-    starts = np.zeros((capacity + 1, salts), dtype=np.int64)
-    for (length, part), n in before.items():
-        starts[length, part] = n
+    length, part, n = (c.to_numpy() for c in pieces.groupBy("length", "salt").count().toArrow().columns)
+    counts = np.zeros((capacity + 1, salts), dtype=np.int64)
+    counts[length, part] = n
+    rows = placements(plan_bins({x: int(m) for x, m in enumerate(counts.sum(axis=1)) if m}, capacity))
+    starts = counts.cumsum(axis=1) - counts
     # Bounded likewise: bins that differ in content, not bins.
     held = spark.sparkContext.broadcast((rows, starts))
 
