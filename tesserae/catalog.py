@@ -322,6 +322,16 @@ def ingest(source: DataFrame, spec: CatalogSpec) -> DataFrame:
     uid = rid.cast("string") if spec.uid is None else column(spec.uid).cast("string")
     base = source.withColumn("rid", rid)
     stored: dict[str, Column] = {}
+    derived: dict[str, Column] = {}
+    names: list[str] = []
     for index in spec.indexes.values():
-        stored.update(KINDS[index.kind](index).stored(base))
-    return base.select("rid", uid.alias("uid"), *[c.alias(n) for n, c in stored.items()], *[c.value().alias(f"m__{n}") for n, c in spec.columns.items()])
+        kind = KINDS[index.kind](index)
+        own, more = kind.stored(base), kind.derived()
+        stored.update(own)
+        derived.update(more)
+        names += [*own, *more]
+    rows = base.select("rid", uid.alias("uid"), *[c.alias(n) for n, c in stored.items()], *[c.value().alias(f"m__{n}") for n, c in spec.columns.items()])
+    if not derived:
+        return rows
+    # Spark keeps the second select apart where both a stored column and what is made of it are read.
+    return rows.select("rid", "uid", *[derived[n].alias(n) if n in derived else n for n in names], *[f"m__{n}" for n in spec.columns])

@@ -60,6 +60,10 @@ class Kind:
     def stored(self, df: DataFrame) -> dict[str, Column]:
         return {self.at: self._winner(df)[0]}
 
+    def derived(self) -> dict[str, Column]:
+        """Columns made of the stored ones, which aren't computed again for them."""
+        return {}
+
     def convert(self, key: Any) -> Any:
         return key
 

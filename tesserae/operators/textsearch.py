@@ -11,7 +11,7 @@ integers, scaled by 1024, so sums don't depend on their order.
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -85,6 +85,34 @@ def document_weight(words: Column) -> Column:
     return F.aggregate(F.sort_array(words), start, step, lambda a: F.sqrt(a["sum"] + square(a["f"])))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _runs(ordered: Column, word: Callable[[Column], Column], entry: Callable[[Column, Column, Column], Column]) -> Column:
+    """``entry(ordered, start, f)`` of each run of equal words; ``word`` is that of an element of ``ordered``."""
+
+    def entries(items: Column) -> Column:
+        first = lambda x, i: F.when((i == 0) | ~word(x).eqNullSafe(word(F.get(items, i - 1))), i)
+        starts = F.filter(F.transform(items, first), F.isnotnull)
+        return _let(starts, lambda at: F.transform(at, lambda i, k: entry(items, i, F.coalesce(F.get(at, k + 1), F.size(items)) - i)))
+
+    return _let(ordered, entries)
+
+
+def counted(words: Column) -> Column:
+    """(word, f) of each distinct word of an array: a document's postings, counted where it stands."""
+    return _runs(F.sort_array(words), lambda x: x, lambda items, i, f: F.struct(F.get(items, i).alias("word"), f.cast("bigint").alias("f")))
+
+
+def located(words: Column) -> Column:
+    """(word, f, positions) of each distinct word of an array."""
+    placed = F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("position"))))
+    spots = lambda items, i, f: F.transform(F.slice(items, i + 1, f), lambda x: x["position"])
+    return _runs(placed, lambda x: x["word"], lambda items, i, f: F.struct(F.get(items, i)["word"].alias("word"), f.cast("bigint").alias("f"), spots(items, i, f).alias("positions")))
+
+
 def glob_pattern(glob: str) -> tuple[str, str]:
     """(literal prefix, anchored regular expression) of a pattern with * and ?."""
     prefix = re.match(r"[^*?]*", glob)[0]
@@ -130,8 +158,11 @@ class Text(Kind):
         sources = [column(s) for s in self.spec.sources]
         some = F.coalesce(*[s.isNotNull() for s in sources]) if len(sources) == 1 else F.greatest(*[s.isNotNull() for s in sources])
         words = F.when(some, self.pipeline.column(F.concat_ws(" ", *sources)))
+        return {self.at: words}
+
+    def derived(self) -> dict[str, Column]:
         # Computed once a document, when it is catalogued: queries read it as a column.
-        return {self.at: words, self.weight: document_weight(words)}
+        return {self.weight: document_weight(self.value)}
 
     @property
     def weight(self) -> str:
@@ -161,10 +192,8 @@ class Text(Kind):
         spaced = F.concat(F.lit(" "), F.array_join(self.value, " "), F.lit(" "))
         flags = [F.contains(spaced, F.lit(" " + " ".join(p.words) + " ")).alias(f"p{i}") for i, p in enumerate(phrases)]
         hits = rows.where(self.indexed).select("rid", F.size(self.value).alias("length"), F.col(self.weight).alias("weight") if weigh else F.lit(1.0).alias("weight"), F.filter(self.value, wanted).alias("hits"), *flags)
-        hits = hits.where(F.size("hits") > 0)
         keep = ["rid", "length", *[f"p{i}" for i in range(len(phrases))]]
-        each = hits.select(*keep, "weight", F.explode("hits").alias("word"))
-        return each.groupBy(*keep, "weight", "word").agg(F.count(F.lit(1)).cast("double").alias("f"))
+        return hits.select(*keep, "weight", F.inline(counted(F.col("hits")))).withColumn("f", F.col("f").cast("double"))
 
     def _any_leaf(self, leaves: list[Word | Glob], word: Column) -> Column:
         literal = [x.text for x in leaves if isinstance(x, Word)]
@@ -276,13 +305,16 @@ class Text(Kind):
 
     def inverted(self, rows: DataFrame) -> DataFrame:
         """The postings of a stored index, dealt out by ranges of words."""
-        words = rows.where(self.indexed).select("rid", F.size(self.value).alias("length"), F.col(self.weight).alias("weight"), F.posexplode(self.value).alias("position", "word"))
-        each = words.groupBy("word", "rid", "length", "weight").agg(F.count(F.lit(1)).alias("f"), F.sort_array(F.collect_list("position")).alias("positions"))
+        each = self._documents(rows).select("rid", "length", "weight", F.inline(located(F.col("words"))))
         df = rows.where(self.indexed).select(F.explode(F.array_distinct(self.value)).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-        out = each.join(df, F.col("word") == F.col("w")).drop("w")
+        out = each.join(df, F.col("word") == F.col("w")).select("word", "rid", "length", "weight", "f", "positions", "df")
         # A word that all documents hold spans several ranges.
         return out.repartitionByRange("word", "rid").sortWithinPartitions("word", "rid")
 
+    def _documents(self, rows: DataFrame) -> DataFrame:
+        """(rid, length, weight, words) of the indexed documents: what stands before their words are dealt out, so that no word carries the others."""
+        return rows.where(self.indexed).select("rid", F.size(self.value).alias("length"), F.col(self.weight).alias("weight"), F.col(self.at).alias("words"))
+
     def query_weight(self, tree: Node, rows: DataFrame) -> DataFrame:
         """One row, ``weight``: each occurrence of a word in the query counts."""
         words = parser.terms(tree)
@@ -303,8 +335,8 @@ class Text(Kind):
 
     def postings(self, rows: DataFrame) -> DataFrame:
         """(word, rid, f, length, weight): the whole inverted table, to be written by word for reuse."""
-        base = rows.where(self.indexed).select("rid", F.size(self.value).alias("length"), F.col(self.weight).alias("weight"), F.explode(self.value).alias("word"))
-        return base.groupBy("word", "rid", "length", "weight").agg(F.count(F.lit(1)).alias("f"))
+        each = self._documents(rows).select("rid", "length", "weight", F.inline(counted(F.col("words"))))
+        return each.select("word", "rid", "length", "weight", "f")
 
 
 def _back(by: int):
