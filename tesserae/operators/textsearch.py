@@ -246,29 +246,38 @@ class Text(Kind):
 
         return documents.select("rid", evaluate(tree).cast("bigint").alias("score")).where("score is not null")
 
-    def _occurrences(self, text: str) -> Column:
-        return F.size(F.filter(self.value, lambda w: w == text))
+    def _measured(self, rows: DataFrame, of: Callable[[Column], list[Column]]) -> DataFrame:
+        """(rid, weight, length and what ``of`` makes of the words) of the indexed documents.
+
+        Text is split once a document, whatever is asked of these columns: Spark copies the
+        expressions that a condition uses below selects, but not below a generator.
+        """
+        documents = self._documents(rows).drop("length")
+        return documents.select("rid", "weight", F.inline(F.transform(F.array("words"), lambda ws: F.struct(F.size(ws).alias("length"), *of(ws)))))
 
     def _in_place(self, simple: list[Word], phrases: list[Phrase], rows: DataFrame, within: Column | None) -> DataFrame:
         """(rid, s0 .., p0 ..): each word's score and whether each phrase occurs, for documents with some word."""
-        has = [F.array_contains(self.value, x.text) for x in simple]
-        counts = [F.sum(F.when(h, 1.0).otherwise(0.0)).alias(f"d{i}") for i, h in enumerate(has)]
-        stats = rows.where(self.indexed).agg(F.struct(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.size(self.value)).alias("mean"), *counts).alias("stats")).scalar()
+        held = lambda ws: [F.array_contains(ws, x.text).alias(f"h{i}") for i, x in enumerate(simple)]
+        counts = [F.sum(F.when(F.col(f"h{i}"), 1.0).otherwise(0.0)).alias(f"d{i}") for i in range(len(simple))]
+        stats = self._measured(rows, held).agg(F.struct(F.count(F.lit(1)).cast("double").alias("n"), F.avg("length").alias("mean"), *counts).alias("stats")).scalar()
+
+        def counted_and_found(ws: Column) -> list[Column]:
+            spaced = F.concat(F.lit(" "), F.array_join(ws, " "), F.lit(" "))
+            fs = [F.size(F.filter(ws, lambda w: w == x.text)).cast("double").alias(f"f{i}") for i, x in enumerate(simple)]
+            return fs + [F.contains(spaced, F.lit(" " + " ".join(p.words) + " ")).alias(f"p{i}") for i, p in enumerate(phrases)]
+
+        has = [F.col(f"f{i}") > 0 for i in range(len(simple))]
         some = has[0]
         for h in has[1:]:
             some = some | h
-        held = rows.where(self.indexed & some if within is None else within & self.indexed & some)
         # A subquery of its own column is read once a row, however many words ask for it.
-        held = held.withColumn("stats", stats)
-        spaced = F.concat(F.lit(" "), F.array_join(self.value, " "), F.lit(" "))
+        found = self._measured(rows if within is None else rows.where(within), counted_and_found).where(some).withColumn("stats", stats)
         scores = []
-        for i, x in enumerate(simple):
-            f = self._occurrences(x.text).cast("double")
+        for i in range(len(simple)):
             df = F.nullif(F.col(f"stats.d{i}"), F.lit(0.0))
-            score = self.scorer.score(f, F.size(self.value).cast("double"), F.col(self.weight), F.col("stats.n"), F.col("stats.mean"), df)
+            score = self.scorer.score(F.col(f"f{i}"), F.col("length").cast("double"), F.col("weight"), F.col("stats.n"), F.col("stats.mean"), df)
             scores.append(F.when(has[i], score).alias(f"s{i}"))
-        flags = [F.contains(spaced, F.lit(" " + " ".join(p.words) + " ")).alias(f"p{i}") for i, p in enumerate(phrases)]
-        return held.select("rid", *scores, *flags)
+        return found.select("rid", *scores, *[f"p{i}" for i in range(len(phrases))])
 
     def _by_postings(self, simple: list[Word | Glob], phrases: list[Phrase], rows: DataFrame, within: Column | None) -> DataFrame:
         """The same where patterns match words that aren't known beforehand."""

@@ -71,3 +71,28 @@ def test_stored_postings_hold_positions(spark, catalog, texts, tmp_path):
     want = {key: (at, df[key[0]]) for key, at in spots.items()}
     rows = found.collect()
     assert all(r.f == len(r.positions) for r in rows) and {(r.word, r.rid): (r.positions, r.df) for r in rows} == want
+
+
+def okapi(f, length, n, mean, df):
+    return math.floor(f * 2.2 / (f + 1.2 * (0.25 + 0.75 * length / mean)) * math.log(1 + n / df) * 1024 + 0.5)
+
+
+@pytest.mark.parametrize("q, wanted", [
+    ('"of the"', lambda s: " of the " in s), ("of-the-cat", lambda s: " of the cat " in s), ('of -"of the"', lambda s: " of " in s and " of the " not in s), ("οδος", lambda s: " οδος " in s),
+    ('"of nowhere"', lambda s: False), ('"the of" OR (often AND "of of")', lambda s: " the of " in s or (" often " in s and " of of " in s))])
+def test_text_is_split_once_a_pass(catalog, texts, q, wanted):
+    words = {i: split(t) for i, t in enumerate(texts) if t is not None}
+    df = Counter(w for ws in words.values() for w in set(ws))
+    n, mean = len(words), sum(map(len, words.values())) / len(words)
+    score = lambda ws, *of: sum(okapi(ws.count(w), len(ws), n, mean, df[w]) for w in of)
+    held = {i: ws for i, ws in words.items() if wanted(f" {' '.join(ws)} ")}
+    parts = {'"of the"': ["of", "the"], "of-the-cat": ["of", "the", "cat"], 'of -"of the"': ["of"], "οδος": ["οδος"]}
+    found = catalog.search({"text": q}).df
+    rows = {r.data_record_id_: r.data_record_score_ for r in found.collect()}
+    if q in parts:
+        assert len(held) > 1 and rows == {i: score(ws, *parts[q]) for i, ws in held.items()}
+    else:
+        assert rows.keys() == held.keys()
+    # A condition that holds the splitting runs it again for each of its parts; the subqueries' passes are in lines of their own.
+    lines = [x for x in plan(found).splitlines() if "regexp_extract_all(" in x]
+    assert lines and not [x for x in lines if re.search(r"\bFilter\b", x) or x.count("regexp_extract_all(") > 1]
